@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, rules
+from . import langid, lines, quality, rules, secrets, urls
 
 
 def queries() -> dict:
-    found = {"op2_quality_mil": quality.op2_quality_mil, "op4_quality_rules": rules.op4_quality_rules}
-    return found
+    found = (lines.op1_line_dedup, quality.op2_quality_mil, rules.op4_quality_rules, urls.op5_url_filter, langid.op6_language_id, secrets.op7_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL}
