@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, lines, quality, rules, secrets, urls
+from . import decontam, langid, lines, quality, rules, secrets, urls
 
 
 def queries() -> dict:
-    found = (lines.op1_line_dedup, quality.op2_quality_mil, rules.op4_quality_rules, urls.op5_url_filter, langid.op6_language_id, secrets.op7_secret_scan)
+    found = (lines.op1_line_dedup, quality.op2_quality_mil, rules.op4_quality_rules, urls.op5_url_filter, langid.op6_language_id, secrets.op7_secret_scan, decontam.op8_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL}
