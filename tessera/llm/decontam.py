@@ -38,7 +38,11 @@ def _places(n: Column, length: int) -> Column:
 
 
 def _gram(hashes: str, length: int):
-    return lambda i: F.xxhash64(F.lit(length), *(F.col(hashes)[i + k] for k in range(length)))
+    """The hash of so many words from place i on.
+
+    The first counts twice: a column that a lambda names only once would be computed anew for each place, as the optimizer then merges the projection that makes it.
+    """
+    return lambda i: F.xxhash64(F.lit(length), F.col(hashes)[i], *(F.col(hashes)[i + k] for k in range(length)))
 
 
 def fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
@@ -81,12 +85,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     # An item's own short sequences are looked for only where the whole item is that short.
     own = fingerprinted(items.select("text"), short)
     useful = F.when(F.col("_n") >= WINDOW, winnowed()).otherwise(F.transform(F.array("_n"), lambda n: _whole(n, short)))
-    prints = space.keep("prints", own.filter("_n > 0").select(F.explode(useful).alias("_print")).filter("_print is not null").distinct())
+    prints = space.keep("prints", own.filter("_n > 0").select(F.explode_outer(useful).alias("_print")).filter("_print is not null").distinct())
     n_prints = prints.count()
 
     key = ["doc_id", "_text"]
     named = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = fingerprinted(named, short).select(*key, F.explode("_prints").alias("_print"))
+    # explode() would have the optimizer push a filter on the array's size, with all that makes the array, to the scan.
+    found = fingerprinted(named, short).select(*key, F.explode_outer("_prints").alias("_print"))
     found = found.join(_hint(prints, n_prints), "_print", "left_semi")
     hits = space.keep("hits", found.groupBy(*key).agg(F.collect_set("_print").alias("_found")))
     n_found = hits.agg(F.coalesce(F.sum(F.size("_found") + 3), F.lit(0))).first()[0]
@@ -94,14 +99,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     again = _hint(hits.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_hit_text"), n_found)
     near = named.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hit_text"))).drop("_id", "_hit_text")
     near = fingerprinted(near, []).drop("_prints", "text")
-    at = F.filter(_places(F.col("_n"), GRAM), lambda i: F.array_contains("_found", F.col("_grams")[i]))
-    around = F.transform(F.filter(at, lambda i: F.col("_n") >= WINDOW), lambda i: F.sequence(F.greatest(i - (RUN - 1), F.lit(0)), F.least(i, F.col("_n") - WINDOW)))
+    at = F.array_compact(F.transform("_grams", lambda g, i: F.when(F.array_contains("_found", g), i)))
+    around = F.transform(F.when(F.col("_n") >= WINDOW, at).otherwise(F.array().cast("array<int>")), lambda i: F.sequence(F.greatest(i - (RUN - 1), F.lit(0)), F.least(i, F.col("_n") - WINDOW)))
     near = near.withColumn("_ten", F.array_distinct(F.flatten(around)))
     places = [F.transform("_ten", lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("length")))]
     for k in short:
         where = F.filter(_places(F.col("_n"), k), lambda i, k=k: F.array_contains("_found", _gram("_hashes", k)(i)))
         places.append(F.transform(where, lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("length"))))
-    near = near.select(*key, "_words", F.explode(F.concat(*places)).alias("_place"))
+    near = near.select(*key, "_words", F.explode_outer(F.concat(*places)).alias("_place"))
     cut = F.array_join(F.slice("_words", F.col("_place.at") + 1, F.col("_place.length")), " ")
     near = near.select(*key, "_place", F.col("_place.length").alias("_length"), cut.alias("_window"))
     spans = near.join(_hint(windows, n_windows), ["_window", "_length"])
@@ -143,10 +148,10 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, length, array_to_string(w[s:s + length - 1], ' ') AS win
   FROM (SELECT item_id, w, least(len(w), 10) AS length, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS s FROM i WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT length FROM iw),
