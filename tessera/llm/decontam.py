@@ -71,8 +71,11 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each row."""
+def contaminated(docs: DataFrame, items: DataFrame, rows: bool = True) -> DataFrame:
+    """docs (doc_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each row.
+
+    With rows false, only the hit documents' doc_id, _text (their text's hash), _places and _classes.
+    """
     space = Workspace(docs.sparkSession, "decontam")
     docs = docs.select("doc_id", "text")
     # Windows with the same set of items are one class; a document carries classes, not items.
@@ -111,6 +114,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     near = near.select(*key, "_place", F.col("_place.length").alias("_length"), cut.alias("_window"))
     spans = near.join(_hint(windows, n_windows), ["_window", "_length"])
     spans = space.keep("spans", spans.groupBy(*key).agg(F.collect_set("_place").alias("_places"), F.collect_set("_class").alias("_classes")))
+    if not rows:
+        return spans
 
     covered = F.flatten(F.transform("_places", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1)))
     n_hit = spans.select(*key, F.size(F.array_distinct(covered)).alias("_n_hit"))
