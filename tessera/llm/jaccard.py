@@ -6,7 +6,8 @@ of each of 2**BITS hash buckets stand; shingles are ordered by that count, rares
 Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles, the prefix, so only prefix shingles that two
 nodes share give candidates. Candidates pass the length filter, the positional filter (what can still follow the
 places of the shared shingle) and the suffix filter (the hash space is cut into PARTS ranges, and the sum of
-the smaller counts of each range bounds the overlap); the rest are verified once on the whole sets.
+the smaller counts of each range bounds the overlap; before that, a node's bitmap of odd counts in SKETCH ranges does: two
+bitmaps differ in no more bits than the sets in shingles). The rest are verified once on the whole sets.
 
 all_links() verifies every candidate. near_duplicates() needs only the classes: each shingle's nodes meet that
 shingle's hubs first, the classes found so far are contracted, and then only candidates between different classes
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from . import _text
 from ._stage import Workspace
 
-GRAM, PERCENT, BITS, PARTS = 5, 80, 16, 128
+GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 256
+BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
 #: Node ids up to so many rows are broadcast to fetch their texts; beyond, that join shuffles.
 BROADCAST_ROWS = 500_000
 #: Orders in which a shingle's least node is a hub, and hubs that a node is compared with in a round.
@@ -77,7 +79,7 @@ def _marks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = {}, np.zeros(1 << BITS, np.int64)
-        names = ["doc_id", "text_hash", "node", "n", "parts", "bucket", "count"]
+        names = ["doc_id", "text_hash", "node", "n", "parts", *BITMAP, "bucket", "count"]
         for batch in batches:
             for row, data, starts in _text.pieces(batch.column("text")):
                 rows = len(starts) - 1
@@ -86,14 +88,16 @@ def _marks(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
                 parts = np.bincount(r * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=rows * PARTS).reshape(rows, PARTS).astype(np.uint32)
+                odd = np.bincount(r * SKETCH + ((h >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH) & 1
+                bitmap = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 packed = [p.astype(np.uint16).tobytes() if p.max() < 65536 else p.tobytes() for p in parts]
-                columns = [batch.column("doc_id").slice(row, rows), batch.column("text_hash").slice(row, rows), pa.array(_nodes(h, at), mask=n == 0), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary())]
+                columns = [batch.column("doc_id").slice(row, rows), batch.column("text_hash").slice(row, rows), pa.array(_nodes(h, at), mask=n == 0), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary()), *(pa.array(bitmap[:, i].copy()) for i in range(len(BITMAP)))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names)
         some = np.flatnonzero(total)
-        empty = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        empty = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *([pa.int64()] * len(BITMAP)))]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(some.astype(np.int32)), pa.array(total[some])], names)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n long, parts binary, bucket int, count long")
+    return docs.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, parts binary, {', '.join(f'{b} long' for b in BITMAP)}, bucket int, count long")
 
 
 def _entries(docs: DataFrame, rank: np.ndarray) -> DataFrame:
@@ -126,6 +130,16 @@ def _close(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ; a and b precede the columns' names."""
+    return sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITMAP), F.lit(0))
+
+
+def _may_differ(n: Column, m: Column) -> Column:
+    """The most shingles that stand in only one of two sets of so many that link."""
+    return n + m - 2 * _overlap(n, m)
+
+
 class Join:
     """One run of the join; its tables are in a workspace of its own."""
 
@@ -136,8 +150,9 @@ class Join:
         counts = marks.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # at most 2**BITS rows
         rank = np.zeros(1 << BITS, np.int64)
         rank[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
-        self.marks = marks.filter("bucket is null").select("doc_id", "text_hash", "node", "n", "parts")
-        nodes = self.marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parts").alias("parts"))
+        marks = marks.filter("bucket is null")
+        self.marks = marks.select("doc_id", "text_hash", "node", "n")
+        nodes = marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parts").alias("parts"), *(F.max(b).alias(b) for b in BITMAP))
         self.nodes = self.space.keep("nodes", nodes)
         self.shared = self.space.keep("shared", self._shared(_entries(self.docs, rank)))
         self.rounds = 0
@@ -152,12 +167,18 @@ class Join:
         """(a, b), a < b, once each."""
         return candidates.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def to_hubs(self, entries: DataFrame) -> DataFrame:
-        """Candidates of each node: the BEST hubs that it meets at the most shingles."""
-        met = entries.select("node", F.explode(F.array(*(c for c in entries.columns if c.startswith("hub")))).alias("hub")).filter("node <> hub")
-        met = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    def to_hubs(self, met: DataFrame) -> DataFrame:
+        """Candidates of each node among the hubs (node, hub) that it meets: the BEST whose bitmaps differ least.
+
+        The others are not lost: unless their classes become one, between() comes to them.
+        """
+        met = met.filter("node <> hub").distinct()
+        side = lambda c: self.nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *BITMAP)))
+        met = met.join(side("hub"), "hub").join(side("node"), "node")
+        differ, most = _differ("node_", "hub_"), _may_differ(F.col("node_n"), F.col("hub_n"))
+        met = met.filter(_close(F.col("node_n"), F.col("hub_n")) & (differ <= most)).withColumn("_far", differ / (F.col("node_n") + F.col("hub_n")))
         # A node has at most as many rows as its prefix has shingles, times the hubs.
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "hub"))
+        best = F.row_number().over(Window.partitionBy("node").orderBy("_far", "hub"))
         return met.withColumn("_rank", best).filter(F.col("_rank") <= BEST).select(F.col("node").alias("x"), F.col("hub").alias("y"))
 
     def between(self, entries: DataFrame, major: DataFrame | None = None) -> DataFrame:
@@ -166,17 +187,18 @@ class Join:
         With major (token, major), entries have a label: only candidates between different labels, and, as all
         entries under a token's major label agree, each is met from one that has another label.
         """
-        right = entries.select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "at", "label") if c in entries.columns))
+        entries = entries.join(self.nodes.select("node", *BITMAP), "node")
+        right = entries.select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "at", "label", *BITMAP) if c in entries.columns))
         left = entries
         rule = F.col("node") < F.col("_node")
         if major is not None:
             left = entries.join(major, "token").filter("label <> major")
             rule = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("major")) | (F.col("node") < F.col("_node")))
-        left_over = F.lit(1) + F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) - 1
-        # A shared shingle bounds the overlap only if it is the pair's first one; those before it, at most min(at), count too.
-        most = left_over + F.least("at", "_at")
-        both = left.join(right, "token").filter(rule & _close(F.col("n"), F.col("_n")) & (most >= _overlap(F.col("n"), F.col("_n"))))
-        return both.select(F.col("node").alias("x"), F.col("_node").alias("y"))
+        n, m = F.col("n"), F.col("_n")
+        # The shared shingle and what follows it in either set; those before it, at most as many as in the shorter run, may be shared too.
+        most = F.least(n - F.col("at"), m - F.col("_at")) + F.least("at", "_at")
+        fits = _close(n, m) & (most >= _overlap(n, m)) & (_differ("", "_") <= _may_differ(n, m))
+        return left.join(right, "token").filter(rule & fits).select(F.col("node").alias("x"), F.col("_node").alias("y"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their whole sets."""
@@ -234,7 +256,8 @@ class Join:
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(node, root) of the nodes that link with another, and the links that were verified."""
         size = self.shared.count()
-        tried = self.space.keep("tried0", self.pairs(self.to_hubs(self.shared)))
+        hubs = F.array(*(c for c in self.shared.columns if c.startswith("hub")))
+        tried = self.space.keep("tried0", self.pairs(self.to_hubs(self.shared.select("node", F.explode(hubs).alias("hub")))))
         links, last = self.verify(tried), False
         while True:
             roots = components(links, self.space, f"roots{self.rounds}")
@@ -251,9 +274,9 @@ class Join:
                 new = self.between(entries, split.select("token", "major"))
             else:
                 seed = SEEDS[HUBS + self.rounds - 1]
-                hubs = entries.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(F.lit(seed))).bitwiseXOR(F.lit(seed)).alias("hub0"))
-                met = entries.join(hubs, "token").join(roots.select(F.col("node").alias("hub0"), F.col("root").alias("_root")), "hub0", "left")
-                new = self.to_hubs(met.filter(F.col("label") != F.coalesce("_root", "hub0")))
+                hubs = entries.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(F.lit(seed))).bitwiseXOR(F.lit(seed)).alias("hub"))
+                met = entries.join(hubs, "token").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("_root")), "hub", "left")
+                new = self.to_hubs(met.filter(F.col("label") != F.coalesce("_root", "hub")).select("node", "hub"))
             new = self.pairs(new).join(tried, ["a", "b"], "left_anti")
             new = self.space.keep(f"tried{self.rounds}", new)
             tried = tried.union(new)
