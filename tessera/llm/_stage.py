@@ -31,7 +31,7 @@ class Workspace:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         # Shuffle files go once the driver has collected the plans that made them.
         self.spark._jvm.System.gc()
         return self.read(name, df.schema)

@@ -24,7 +24,7 @@ LOWER[65:91] += 32
 def powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if "p" not in cache or len(cache["p"]) < n:
-        n = 1 << max(16, int(n - 1).bit_length())
+        n = -(-n >> 16) << 16
         for key, base in (("p", _BASE), ("q", _INVERSE)):
             a = np.full(n, base, np.uint64)
             a[0] = 1

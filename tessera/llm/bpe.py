@@ -16,7 +16,8 @@ import pyarrow as pa
 
 from . import _text
 
-CACHE = 1_000_000
+#: Pieces that a process remembers, in about 40 bytes each; when there are more it begins anew.
+CACHE = 2_000_000
 #: Byte classes: 1 letter, 2 digit, 3 punctuation, 4 apostrophe, 5 beyond ASCII, 6 space, 7 other white space, 0 the rest.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[33:127] = 3
@@ -32,7 +33,7 @@ _INK = lambda c: (c >= 1) & (c <= 5)
 _CUT = (_INK(_i) & (_j >= 6)) | ((_i == 7) & _INK(_j)) | ((_i != _j) & (_i >= 1) & (_i <= 3) & (_j >= 1) & (_j <= 3))
 #: White space beyond ASCII, whose runs join with spaces: such texts are encoded whole.
 _WIDE = re.compile("[\x85\xa0  -     　]")
-_PLAIN = re.compile(r" ?[!-~]+")
+_PLAIN = re.compile(r" ?\S+")
 
 
 def process_store() -> types.ModuleType:
@@ -54,41 +55,50 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def clear(self) -> None:
-        """Slot 0 of the pool is the end id."""
-        self.slot, self.size = {}, 1
+        """Known pieces' hashes, sorted, with their slots; slot 0 of the pool is the end id."""
+        self.keys, self.slot, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), 1
         self.pool, self.used = np.full(1 << 20, self.end, np.uint32), 1
         self.begin, self.length = np.zeros(1 << 18, np.int64), np.ones(1 << 18, np.int32)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        joined = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
-        found: list = [None] * len(texts)
-        if joined and len(self.newline) == 1:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each one's begin and how many they are."""
+        begin, length, whole, at = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32), [], 0
+        joined = np.array([i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)], np.int64)
+        if len(joined) and len(self.newline) == 1:
             # Between pieces without white space inside, a line break is a token of its own.
-            ids = np.array(self._plain("\n".join(texts[i] for i in joined)), np.uint32)
-            cut = np.flatnonzero(ids == self.newline[0])
-            if len(cut) == len(joined) - 1:
-                for i, part in zip(joined, np.split(ids, cut), strict=True):
-                    found[i] = part if i == joined[0] else part[1:]
-        rest = [i for i, f in enumerate(found) if f is None]
+            ids = np.array(self._plain("\n".join([texts[i] for i in joined])), np.uint32)
+            cut = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
+            if len(cut) == len(joined):
+                begin[joined] = np.append(0, cut[:-1] + 1)
+                length[joined] = cut - begin[joined]
+                whole, at = [ids], len(ids)
+        rest = np.flatnonzero(length == 0).tolist()
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.uint32)
-        new = np.concatenate(found)
+            whole.append(np.array(e.ids, np.uint32))
+            begin[i], length[i] = at, len(whole[-1])
+            at += len(whole[-1])
+        return np.concatenate(whole), begin, length
+
+    def _learn(self, keys: np.ndarray, places: np.ndarray, texts: list[str]) -> None:
+        """Adds sorted keys at their places among the known ones."""
+        new, begin, length = self._ids(texts)
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.size + len(texts) > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        n = np.array([len(f) for f in found], np.int32)
+        n = len(texts)
         self.pool[self.used : self.used + len(new)] = new
-        self.begin[self.size : self.size + len(n)] = self.used + np.cumsum(n) - n
-        self.length[self.size : self.size + len(n)] = n
-        self.slot.update(zip(keys, range(self.size, self.size + len(n)), strict=True))
-        self.size += len(n)
+        self.begin[self.size : self.size + n] = self.used + begin
+        self.length[self.size : self.size + n] = length
+        self.keys = np.insert(self.keys, places, keys)
+        self.slot = np.insert(self.slot, places, np.arange(self.size, self.size + n, dtype=np.int32))
+        self.size += n
         self.used += len(new)
 
     def encode(self, data: np.ndarray, starts: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each with the end id, and where each row begins; one entry more."""
         n = len(starts) - 1
-        if len(self.slot) > CACHE:
+        if len(self.keys) > CACHE:
             self.clear()
         c = _CLASS[data]
         first = np.zeros(len(data), bool)
@@ -97,15 +107,16 @@ class Encoder:
         a = np.flatnonzero(first)
         b = np.append(a[1:], len(data)) if len(a) else a
         keys, at, which = np.unique(_text.span_hashes(data, a, b, cache), return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        slots = [self.slot.get(k) for k in listed]
-        lost = [i for i, s in enumerate(slots) if s is None]
-        if lost:
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        if not known.all():
+            lost = np.flatnonzero(~known)
             raw = data.tobytes()
-            self._learn([listed[i] for i in lost], [raw[x:y].decode() for x, y in zip(a[at[lost]].tolist(), b[at[lost]].tolist(), strict=True)])
-            for i in lost:
-                slots[i] = self.slot[listed[i]]
-        index = np.insert(np.array(slots, np.int64)[which] if listed else np.zeros(0, np.int64), np.searchsorted(a, starts[1:]), 0)
+            self._learn(keys[lost], place[lost], [raw[x:y].decode() for x, y in zip(a[at[lost]].tolist(), b[at[lost]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        index = np.insert(self.slot[place][which] if len(keys) else np.zeros(0, np.int32), np.searchsorted(a, starts[1:]), 0)
         length = self.length[index]
         ends = np.cumsum(length)
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begin[index] - (ends - length), length)]
@@ -124,7 +135,7 @@ def encoder(path: str, end: int) -> Encoder:
 def encode_column(column: pa.Array, path: str, end: int, cache: dict):
     """(first row, ids, row starts) for runs of rows of a string column."""
     e = encoder(path, end)
-    for row, data, starts in _text.pieces(column, 4 << 20):
+    for row, data, starts in _text.pieces(column, 2 << 20):
         ids, at = e.encode(data, starts, cache)
         if (data >= 0x80).any():
             # A row with wide white space or a very long piece is encoded as a whole instead.
