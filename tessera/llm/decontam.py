@@ -40,7 +40,8 @@ def _places(n: Column, length: int) -> Column:
 def _gram(hashes: str, length: int):
     """The hash of so many words from place i on.
 
-    The first counts twice: a column that a lambda names only once would be computed anew for each place, as the optimizer then merges the projection that makes it.
+    The first counts twice: a column that a lambda names only once would be computed anew for each place, as the
+    optimizer then merges the projection that makes it.
     """
     return lambda i: F.xxhash64(F.lit(length), F.col(hashes)[i], *(F.col(hashes)[i + k] for k in range(length)))
 
@@ -67,6 +68,13 @@ def _windows(items: DataFrame) -> DataFrame:
     return items.select("_item", "_length", "_words", at).select(cut.alias("_window"), "_length", "_item").distinct()
 
 
+def _short_places(k: int) -> Column:
+    """Where a found hash of k words stands. A lambda's second parameter would be the index, so k is bound here."""
+    gram = _gram("_hashes", k)
+    where = F.filter(_places(F.col("_n"), k), lambda i: F.array_contains("_found", gram(i)))
+    return F.transform(where, lambda i: F.struct(i.alias("at"), F.lit(k).alias("length")))
+
+
 def _hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -106,9 +114,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rows: bool = True) -> DataFr
     around = F.transform(F.when(F.col("_n") >= WINDOW, at).otherwise(F.array().cast("array<int>")), lambda i: F.sequence(F.greatest(i - (RUN - 1), F.lit(0)), F.least(i, F.col("_n") - WINDOW)))
     near = near.withColumn("_ten", F.array_distinct(F.flatten(around)))
     places = [F.transform("_ten", lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("length")))]
-    for k in short:
-        where = F.filter(_places(F.col("_n"), k), lambda i, k=k: F.array_contains("_found", _gram("_hashes", k)(i)))
-        places.append(F.transform(where, lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("length"))))
+    places += [_short_places(k) for k in short]
     near = near.select(*key, "_words", F.explode_outer(F.concat(*places)).alias("_place"))
     cut = F.array_join(F.slice("_words", F.col("_place.at") + 1, F.col("_place.length")), " ")
     near = near.select(*key, "_place", F.col("_place.length").alias("_length"), cut.alias("_window"))
