@@ -55,6 +55,10 @@ def term_table(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, F.size(words).alias("length"), F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def bm25(df: DataFrame, key: str, text: Column, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the rows that have every query term; Robertson's weighting with a floored idf.
 
@@ -62,7 +66,7 @@ def bm25(df: DataFrame, key: str, text: Column, query: str, k1: float = 1.2, b:
     """
     terms = sorted(set(query.lower().split()))
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    sized = df.select(F.col(key), F.size(words).alias("length"), *(F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    sized = df.select(F.col(key), F.size(words).alias("length"), *(_times(words, t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = sized.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hits = sized.filter(reduce(lambda x, y: x & y, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)

@@ -72,7 +72,7 @@ CONTACTS = rows(
     "id, name, emails, phones", "(1, 'Ann', 'ann@x.org;Ann@Work.com', '1;2;3')", "(2, 'Bob', 'bob@x.org', '')", "(3, 'Cy', '', '')", "(4, 'Annie', 'ANN@x.org', '9')",
 )
 TASKS = rows(
-    "id, then_id, owner, status, next_run, schedule, at, day", "(1, 2, 'alice', 'active', '2024-01-30 23:00:00', 'daily', '09:30', NULL)", "(2, 3, 'alice', 'active', '2024-02-01 00:00:00', 'weekly', '08:00', 2)",
+    "id, then_id, owner, status, next_run, schedule, clock, day", "(1, 2, 'alice', 'active', '2024-01-30 23:00:00', 'daily', '09:30', NULL)", "(2, 3, 'alice', 'active', '2024-02-01 00:00:00', 'weekly', '08:00', 2)",
     "(3, 1, 'bob', 'paused', '2024-01-01 00:00:00', 'monthly', '07:00', 31)", "(4, 5, 'bob', 'active', NULL, 'daily', '9am', NULL)", "(5, NULL, 'bob', 'active', '2024-01-31 00:00:00', 'monthly', '00:00', 30)",
 )
 WEB = rows(

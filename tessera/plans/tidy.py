@@ -1 +1,333 @@
-"""Queries of this family."""
+"""Retention and tidy rules, and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import retention as K
+from tessera.operators import search as S
+from tessera.plans import fixtures as X
+from tessera.plans.registry import query
+
+c = F.col
+NOW = F.lit(X.NOW)
+
+
+@query("SELECT * FROM (VALUES ('s1'), ('s5'), ('s10')) AS t(id)")
+def ta_archive(t):
+    return K.to_archive(t.inline(X.SESSIONS), NOW).select("id")
+
+
+@query("SELECT * FROM (VALUES ('s3', 1024::BIGINT)) AS t(id, freed)")
+def tb_delete(t):
+    return K.to_delete(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW, recent=3).select("id", "freed")
+
+
+@query(f"""SELECT id, CASE WHEN NOT coalesce(archived, false) THEN 'active' WHEN is_important THEN 'important' WHEN message_count >= 20 THEN 'long'
+WHEN contains(lower(name), 'keep') THEN 'protected' ELSE 'delete' END AS reason FROM ({X.SESSIONS})""")
+def tc_preview(t):
+    name = F.lower("name")
+    reason = F.when(~F.coalesce("archived", F.lit(False)), "active").when(c("is_important"), "important").when(c("message_count") >= 20, "long")
+    return t.inline(X.SESSIONS).select("id", reason.when(F.exists(F.lit(list(K.PROTECTED)), lambda k: F.contains(name, k)), "protected").otherwise("delete").alias("reason"))
+
+
+@query("SELECT * FROM (VALUES ('s1', 'trivial'), ('s5', 'name'), ('s6', 'incognito'), ('s8', 'unanswered'), ('s10', 'empty')) AS t(id, reason)")
+def td_throwaway(t):
+    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW).select("id", "reason")
+
+
+@query()
+def te_throwaway_mild(t):
+    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW, aggressive=False).select("id", "reason")
+
+
+@query("SELECT * FROM (VALUES ('d4', 'title'), ('d5', 'empty'), ('d6', 'title'), ('d8', 'title'), ('d9', 'title')) AS t(id, reason)")
+def tf_junk_documents(t):
+    return K.junk_documents(t.inline(X.DOCUMENTS)).filter("reason is not null").select("id", "reason")
+
+
+@query()
+def tg_strict_documents(t):
+    return K.strict_documents(t.inline(X.DOCUMENTS)).filter("reason is not null").select("id", "reason")
+
+
+@query("SELECT * FROM (VALUES ('s10', 'delete'), ('s8', 'archive')) AS t(id, action)")
+def th_empty_or_old(t):
+    return K.empty_or_old(t.inline(X.SESSIONS), NOW).select("id", "action")
+
+
+@query("SELECT count(*) AS expired FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'")
+def ti_age_out(t):
+    return t.orders.filter(c("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("expired"))
+
+
+@query(f"SELECT id FROM ({X.SESSIONS}) WHERE archived AND NOT is_important AND last_accessed < '2024-01-01 00:00:00'")
+def q2_age_delete(t):
+    return t.inline(X.SESSIONS).filter(c("archived") & ~c("is_important") & (c("last_accessed") < "2024-01-01 00:00:00")).select("id")
+
+
+@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') = 0 THEN substr(text, 1, 120) ELSE (CASE WHEN strpos(lower(text), 'license') - 61 > 0 THEN '...' ELSE '' END) || substr(text, greatest(strpos(lower(text), 'license') - 61, 0) + 1, least(strpos(lower(text), 'license') - 1 + 67, length(text)) - greatest(strpos(lower(text), 'license') - 61, 0)) || (CASE WHEN strpos(lower(text), 'license') - 1 + 67 < length(text) THEN '...' ELSE '' END) END AS snippet FROM documents")
+def f1_snippet(t):
+    return t.documents.select("doc_id", T.snippet(c("text"), "license").alias("snippet"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])under([^\p{L}\p{N}_]|$)')")
+def f3_whole_word(t):
+    return t.documents.filter(T.whole_word(F.lower("text"), "under")).select("doc_id")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS domain FROM pages")
+def f4_domain(t):
+    return t.pages.select("page_id", T.domain(c("url")).alias("domain"))
+
+
+@query("SELECT event_id, CASE WHEN d <= 7 THEN 1.0 WHEN d >= 30 THEN 0.0 ELSE (30 - d) / 23.0::DOUBLE END::DOUBLE AS score FROM (SELECT event_id, floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - ts) / 86400)::BIGINT AS d FROM events)")
+def f5_recency(t):
+    return t.events.select("event_id", S.recency(c("ts").cast("string"), NOW.cast("timestamp")).alias("score"))
+
+
+@query()
+def f6_query_understanding(t):
+    q = t.inline(X.rows("q", "('who wrote Dune in 1965 and where is Arrakis')", "('whatsapp pricing site:example.com')"))
+    kind = F.regexp_extract(F.lower(F.trim("q")), r"^(who|what|when|where|why|how)( |$)", 1)
+    site = F.regexp_extract("q", r"(?i)\bsite:(\S+)", 1)
+    bare = F.trim(F.regexp_replace("q", r"(?i)\bsite:\S+", ""))
+    parts = F.filter(F.transform(F.split(bare, r"(?i)\s+and\s+|\s+or\s+|;"), lambda x: F.trim(x)), lambda x: x != "")
+    names = F.regexp_extract_all(bare, F.lit(r"\b([A-Z][a-zA-Z]+)\b"), 1)
+    years = F.regexp_extract_all(bare, F.lit(r"\b((?:19|20)\d{2})\b"), 1)
+    return q.select("q", kind.alias("kind"), site.alias("site"), F.array_join(parts, "|").alias("parts"), F.array_join(names, "|").alias("names"), F.array_join(years, "|").alias("years"))
+
+
+@query()
+def f7_query_enhancement(t):
+    """Each part of a query in brackets, its names and years quoted and OR-ed, a word for its kind, and the site."""
+    q = t.inline(X.rows("q", "('who wrote Dune in 1965 and where is Arrakis')", "('whatsapp pricing site:example.com')"))
+    site = F.regexp_extract("q", r"(?i)\bsite:(\S+)", 1)
+    bare = F.trim(F.regexp_replace("q", r"(?i)\bsite:\S+", ""))
+    parts = F.filter(F.transform(F.split(bare, r"(?i)\s+and\s+|\s+or\s+|;"), lambda x: F.trim(x)), lambda x: x != "")
+    words = F.create_map(*[F.lit(x) for kv in (("who", "person"), ("when", "date"), ("where", "location"), ("why", "reason"), ("how", "method")) for x in kv])
+
+    def boosted(x):
+        kind = F.regexp_extract(F.lower(x), r"^(who|what|when|where|why|how)( |$)", 1)
+        rest = F.trim(F.regexp_replace(x, r"(?i)^(who|what|when|where|why|how)( |$)", ""))
+        quote = lambda p: F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(p), 1), lambda n: F.concat(F.lit('"'), n, F.lit('"'))), " OR ")
+        whole = F.array_join(F.filter(F.array(x, quote(r"\b([A-Z][a-zA-Z]+)\b"), quote(r"\b((?:19|20)\d{2})\b")), lambda y: y != ""), " ")
+        extra = F.try_element_at(words, kind)
+        return F.concat(F.lit("("), F.when(extra.isNull(), whole).otherwise(F.concat(F.lit("("), whole, F.lit(") OR ("), extra, F.lit(")"))), F.lit(")"))
+
+    joined = F.array_join(F.transform(parts, boosted), " AND ")
+    return q.select("q", F.when(site == "", joined).otherwise(F.concat(joined, F.lit(" site:"), site)).alias("enhanced"))
+
+
+@query(r"SELECT doc_id, CASE WHEN len(list_intersect(regexp_extract_all(lower(text), '\b(\w+)\b', 1), ['news', 'latest', 'breaking', 'today', 'current', 'updates', 'happening'])) > 0 THEN 1800 ELSE 86400 END::INTEGER AS ttl FROM documents")
+def f8_cache_ttl(t):
+    words = F.split(F.lower("text"), r"[^a-z0-9_]+")
+    news = F.lit(["news", "latest", "breaking", "today", "current", "updates", "happening"])
+    return t.documents.select("doc_id", F.when(F.arrays_overlap(words, news), 1800).otherwise(86400).alias("ttl"))
+
+
+@query("SELECT * FROM (VALUES (1, 'first|second|third')) AS t(id, points)")
+def f9_key_points(t):
+    rows = t.inline("SELECT 1 AS id, 'intro' || chr(10) || '- first' || chr(10) || '  * second' || chr(10) || '3. third' || chr(10) || 'end' AS text")
+    return rows.select("id", F.array_join(T.key_points(c("text")), "|").alias("points"))
+
+
+@query()
+def f10_tldr(t):
+    return t.documents.select("doc_id", T.tldr(c("text")).alias("tldr"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a long enough quote|another long enough one')) AS t(id, quotes)")
+def f11_quotes(t):
+    rows = t.inline("SELECT 1 AS id, 'He said \"a long enough quote\" and \"short\" and ' || chr(39) || 'another long enough one' || chr(39) || ' then.' AS text")
+    return rows.select("id", F.array_join(T.quotes(c("text")), "|").alias("quotes"))
+
+
+@query("SELECT * FROM (VALUES (1, '50000 users|1,000,000|45%|2024')) AS t(id, found)")
+def f12_statistics(t):
+    rows = t.inline("SELECT 1 AS id, 'From 50000 users, 1,000,000. About 45% in 2024.' AS text")
+    number = F.regexp_extract_all("text", F.lit(r"(\b(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?:%|percent|[a-zA-Z]+)?)"), 1)
+    return rows.select("id", F.array_join(F.transform(number, lambda x: F.trim(x)), "|").alias("found"))
+
+
+@query(r"SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g'))) AS key FROM documents")
+def f13_title_key(t):
+    return t.documents.select("doc_id", T.title_key(F.substring("text", 1, 80)).alias("key"))
+
+
+@query(r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS fingerprint FROM documents")
+def f14_content_key(t):
+    return t.documents.select("doc_id", F.md5(T.content_key(c("text")).cast("binary")).alias("fingerprint"))
+
+
+@query(r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s+', '', 'g'), '[*_`>\-=]+', '', 'g'), '\s+', ' ', 'g')))::INTEGER AS real_length FROM documents")
+def f15_real_length(t):
+    return t.documents.select("doc_id", T.real_length(c("text")).alias("real_length"))
+
+
+@query("SELECT doc_id, 'doc_' || substr(sha256(source || chr(0) || text), 1, 16) AS id FROM documents")
+def f16_content_id(t):
+    return t.documents.select("doc_id", T.content_id(c("text"), c("source")).alias("id"))
+
+
+@query("SELECT page_id, substr(sha256('alice' || '|' || page_id::VARCHAR || '|' || url), 1, 24) AS id FROM pages")
+def f17_calendar_id(t):
+    return t.pages.select("page_id", F.substring(F.sha2(F.concat_ws("|", F.lit("alice"), c("page_id").cast("string"), "url").cast("binary"), 256), 1, 24).alias("id"))
+
+
+_FACTS = X.rows("id, text", "(1, 'My name is Ann Berg.')", "(2, 'I live in Oslo')", "(3, 'I really like the green tea!')", "(4, 'call me Al')", "(5, 'nothing here')")
+
+
+@query("SELECT * FROM (VALUES (1, 'name', 'Ann Berg'), (2, 'place', 'Oslo'), (3, 'likes', 'green tea'), (4, 'nickname', 'Al')) AS t(id, kind, value)")
+def f19_fact_patterns(t):
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"[.,!?;:]+$", ""), r"(?i)^(the|a|an) ", "")
+    rules = (("name", r"(?i)\bmy name is ([^.,!?]+)"), ("nickname", r"(?i)\bcall me ([^.,!?]+)"), ("place", r"(?i)\bi live in ([^.,!?]+)"), ("likes", r"(?i)\bi (?:really )?like ([^.,!?]+)"))
+    found = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), clean(F.regexp_extract("text", p, 1)).alias("value")) for k, p in rules)), lambda x: x["value"] != "")
+    return t.inline(_FACTS).select("id", F.explode(F.slice(found, 1, 2)).alias("x")).select("id", "x.kind", "x.value")
+
+
+@query("SELECT * FROM (VALUES (1, 'buy milk'), (2, NULL)) AS t(id, command)")
+def f21_memory_command(t):
+    rows = t.inline(X.rows("id, text", "(1, 'Remember: buy milk')", "(2, 'I remember it')"))
+    return rows.select("id", F.nullif(F.trim(F.regexp_extract("text", r"(?i)^\s*(?:remember|memorize|note|save|store)\s*:\s*(.+)$", 1)), F.lit("")).alias("command"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Answer.'), (2, 'Rest')) AS t(id, shown)")
+def f22_strip_reasoning(t):
+    """Nested blocks go from the inside out, a few levels deep; a dangling one goes to the end."""
+    out = c("text")
+    for _ in range(4):
+        out = F.regexp_replace(out, r"(?is)<think(?:ing)?>(?:(?!<think).)*?</think(?:ing)?>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?is)^.*?</think(?:ing)?>", ""), r"(?is)<think(?:ing)?>.*$", "")
+    rows = t.inline(X.rows("id, text", "(1, '<think>a <think>b</think> c</think>Answer.<think>open')", "(2, 'lost</think>Rest')"))
+    return rows.select("id", F.trim(out).alias("shown"))
+
+
+@query("SELECT * FROM (VALUES (1, 'html'), (2, 'json'), (3, 'python'), (4, 'sql'), (5, 'markdown'), (6, 'svg'), (7, 'bash')) AS t(id, language)")
+def f24_language_sniff(t):
+    rows = t.inline(X.rows("id, text", "(1, '<!DOCTYPE html><p>x')", "(2, '{\"a\": 1}')", "(3, 'import os')", "(4, 'select a from b')", "(5, 'plain words')", "(6, '<svg width=\"1\">')", "(7, '#!/bin/sh')"))
+    return rows.select("id", T.sniff_language(c("text")).alias("language"))
+
+
+@query("SELECT * FROM (VALUES ('e1', 'health', NULL), ('e2', 'travel', NULL), ('e3', 'work', 'high'), ('e5', 'health', 'critical')) AS t(uid, kind, importance)")
+def f25_event_classifier(t):
+    # The first kind with a word in the summary wins.
+    kinds = (("health", "doctor|dentist|clinic|hospital|appointment|checkup|therapy|surgery"), ("travel", "flight|airport|train|boarding|taxi|trip|hotel"), ("meal", "lunch|dinner|breakfast|coffee"), ("work", "meeting|standup|sync|review|interview|demo|client|retro"))
+    s, kind = F.lower("summary"), None
+    for name, words in kinds:
+        kind = F.when(s.rlike(words), name) if kind is None else kind.when(s.rlike(words), name)
+    weight = F.when(s.rlike("surgery|court|wedding day|funeral|delivery date"), "critical").when(s.rlike("flight|interview|wedding|exam|deadline|presentation|demo|kickoff|launch"), "high")
+    return t.inline(X.EVENTS).filter("uid in ('e1', 'e2', 'e3', 'e5')").select("uid", kind.alias("kind"), weight.alias("importance"))
+
+
+@query("SELECT * FROM (VALUES (1, 'ready', '12.5 tok/s'), (2, 'running', 'loading 40%'), (3, 'ready', 'ready'), (4, '', '')) AS t(id, status, phase)")
+def f26_serve_phase(t):
+    rows = t.inline(X.rows("id, log", "(1, 'Avg generation throughput: 12.5 tokens/s, Running: 2 reqs')", "(2, 'Loading safetensors: 40%')", "(3, 'Application startup complete')", "(4, 'hm')"))
+    tps, load = F.regexp_extract("log", r"generation throughput:\s*([\d.]+)\s*tokens/s", 1), F.regexp_extract("log", r"Loading safetensors.*?(\d+)%", 1)
+    status = F.when((tps != "") | c("log").contains("startup complete"), "ready").when(load != "", "running").otherwise("")
+    phase = F.when(tps != "", F.concat(tps, F.lit(" tok/s"))).when(c("log").contains("startup complete"), "ready").when(load != "", F.concat(F.lit("loading "), load, F.lit("%"))).otherwise("")
+    return rows.select("id", status.alias("status"), phase.alias("phase"))
+
+
+@query("SELECT conv_id, sum(4 + floor(length(text) * 0.3::DOUBLE))::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def f27_token_estimate(t):
+    return t.conversations.groupBy("conv_id").agg(F.sum(4 + T.estimate_tokens(F.length("text"))).cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 1000 THEN length(text) ELSE 1000 END::INTEGER AS kept FROM documents")
+def f28_middle_out(t):
+    return t.documents.select("doc_id", F.length(T.middle_out(c("text"), 1000)).alias("kept"))
+
+
+@query("SELECT * FROM (VALUES (1, 4096), (2, 8000), (3, 32000)) AS t(id, budget)")
+def f29_input_budget(t):
+    rows = t.inline(X.rows("id, window_size, asked", "(1, 4096, 9000)", "(2, 16000, 8000)", "(3, 128000, NULL)"))
+    return rows.select("id", F.when(c("asked").isNotNull(), F.least("asked", "window_size")).otherwise(F.least(F.floor(c("window_size") * F.lit(0.85)), F.lit(32000))).cast("int").alias("budget"))
+
+
+@query("SELECT * FROM (VALUES (1, '512 B'), (2, '1.5 KB'), (3, '2.0 GB')) AS t(id, size)")
+def f30_human_size(t):
+    rows = t.inline(X.rows("id, n", "(1, CAST(512 AS BIGINT))", "(2, CAST(1536 AS BIGINT))", "(3, CAST(2147483648 AS BIGINT))"))
+    return rows.select("id", T.human_size(c("n")).alias("size"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
+def f37_unit_vector(t):
+    """The norm after normalising; a zero vector would stay 0."""
+    return t.embeddings.select("vec_id", F.round(F.sqrt(F.aggregate(T.unit(c("embedding")), F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"))
+
+
+_LISTS = X.rows("id, items", "(1, '[{\"text\": \"a\", \"done\": false}, {\"text\": \"b\", \"done\": true}, {\"text\": \"c\"}, {\"text\": \"d\"}, {\"text\": \"e\"}]')", "(2, 'broken')")
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (1, 'c'), (1, 'd')) AS t(id, item)")
+def f39_pending_items(t):
+    items = F.from_json("items", "array<struct<text:string,done:boolean>>")
+    open_ = F.slice(F.filter(items, lambda x: ~F.coalesce(x["done"], F.lit(False))), 1, 3)
+    return t.inline(_LISTS).select("id", F.explode(open_).alias("x")).select("id", c("x.text").alias("item"))
+
+
+@query("SELECT * FROM (VALUES (1, 'dQw4w9WgXcQ'), (2, 'dQw4w9WgXcQ'), (3, '')) AS t(id, video)")
+def f40_video_id(t):
+    rows = t.inline(X.rows("id, url", "(1, 'https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1')", "(2, 'https://youtu.be/dQw4w9WgXcQ')", "(3, 'https://example.com/watch?v=x')"))
+    return rows.select("id", F.regexp_extract("url", r"(?:youtube\.com/(?:watch\?(?:.*&)?v=|embed/|shorts/)|youtu\.be/)([\w-]{11})", 1).alias("video"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?m)^(#{1,6}\\s+.+)$', 1))::INTEGER AS headings FROM documents")
+def f41_headings(t):
+    return t.documents.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6}\s+.+)$"), 1)).alias("headings"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Cat,sea'), (2, '')) AS t(id, tags)")
+def q14_tag_clean(t):
+    """First spelling kept, order kept, tags that the machine gave left out, whatever their case."""
+    split = lambda x: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda y: F.trim(y)), lambda y: y != "")
+    rows = t.inline(X.rows("id, tags, ai_tags", "(1, 'Cat, cat,sea,SKY', 'sky')", "(2, NULL, 'x')")).select("id", split(c("tags")).alias("a"), split(c("ai_tags")).alias("b"))
+    low = F.transform("a", lambda x: F.lower(x))
+    first = F.filter("a", lambda x, i: (F.array_position(low, F.lower(x)) == i + 1) & ~F.array_contains(F.transform("b", lambda y: F.lower(y)), F.lower(x)))
+    return rows.select("id", F.array_join(first, ",").alias("tags"))
+
+
+@query("SELECT * FROM (VALUES (1, 3, 'a,b,c,d'), (2, 0, 'x')) AS t(id, verdict, tags)")
+def q13_verdict_rules(t):
+    rows = t.inline(X.rows("id, text, verdict, tags", "(1, 'I wait outside', 1, 'a,b,c,d,e,a')", "(2, 'Unsubscribe from this list', 1, 'x')"))
+    lifted = F.when(F.lower("text").rlike(r"\boutside\b"), 3).when(F.lower("text").rlike("unsubscribe|newsletter") & (c("verdict") < 2), 0).otherwise(c("verdict"))
+    return rows.select("id", F.greatest(F.lit(0), F.least(F.lit(3), lifted)).alias("verdict"), F.array_join(F.slice(F.array_distinct(F.split("tags", ",")), 1, 4), ",").alias("tags"))
+
+
+@query("SELECT * FROM (VALUES (1, 'New York|Oslo Fjord|Quarterly')) AS t(id, terms)")
+def q16_capitalised_terms(t):
+    rows = t.inline(X.rows("id, text", "(1, 'The Quarterly notes on New York and Oslo Fjord, sent to New York.')"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b((?:[A-Z][a-z]+)(?:\s[A-Z][a-z]+){0,2})\b"), 1))
+    found = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^(The|A|An|This|That) ", "")))
+    some = F.filter(found, lambda x: F.length(x) >= 5)
+    ranked = F.array_sort(F.transform(some, lambda x: F.struct(F.when(F.contains(x, F.lit(" ")), 0).otherwise(1).alias("r"), x.alias("x"))))
+    return rows.select("id", F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: x["x"]), "|").alias("terms"))
+
+
+@query("SELECT * FROM (VALUES (1, 100), (2, 100), (3, 50), (4, 0)) AS t(id, kept)")
+def q22_attachment_budget(t):
+    """Files in order share a budget of 250; a slice under 20 is dropped."""
+    from pyspark.sql import Window
+
+    rows = t.inline(X.rows("id, n", "(1, 100)", "(2, 100)", "(3, 90)", "(4, 30)"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one request's files
+    kept = F.greatest(F.least(c("n"), F.lit(250) - before), F.lit(0))
+    return rows.select("id", F.when(kept < 20, 0).otherwise(kept).cast("int").alias("kept"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'fact'), ('b', 'task'), ('c', 'fact')) AS t(text, category)")
+def q23_memory_import(t):
+    """A list of strings or objects; numbers before the text go."""
+    each = F.transform(F.from_json(F.lit('["1. a", {"text": "2) b", "category": "task"}, "c"]'), "array<string>"), lambda x: x)
+    rows = t.inline("SELECT 1 AS one").select(F.explode(each).alias("x"))
+    text = F.coalesce(F.get_json_object("x", "$.text"), c("x"))
+    return rows.select(F.regexp_replace(text, r"^\s*\d+[.)]\s*", "").alias("text"), F.coalesce(F.get_json_object("x", "$.category"), F.lit("fact")).alias("category"))
+
+
+@query("SELECT * FROM (VALUES ('Deploy-Docker', true), ('new', false)) AS t(title, known)")
+def q24_title_exists(t):
+    new = t.inline(X.rows("title", "('Deploy-Docker')", "('new')"))
+    known = t.inline(X.SKILLS).select(F.lower("name").alias("k")).distinct()
+    return new.join(known, F.lower("title") == c("k"), "left").select("title", c("k").isNotNull().alias("known"))
