@@ -1 +1,229 @@
-"""Queries of this family."""
+"""Sources, chunks, HTML, mail threads and recurrence."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import extract as E
+from tessera.plans import fixtures as X
+from tessera.plans.registry import query
+from tessera.sources import files as S
+
+c = F.col
+_TRIM = "trim(text, ' ' || chr(9) || chr(13) || chr(10))"
+
+
+@query(f"""SELECT doc_id, i::INTEGER AS pos, md5(substr(t, i * 800 + 1, 1000)) AS chunk FROM (SELECT doc_id, {_TRIM} AS t, unnest(generate_series(0, ceil(greatest(length({_TRIM}) - 1000, 0) / 800.0)::BIGINT)) AS i FROM documents WHERE length({_TRIM}) > 0)""")
+def x5_windows(t):
+    return t.documents.select("doc_id", F.posexplode(T.windows(c("text"))).alias("pos", "chunk")).select("doc_id", "pos", F.md5(c("chunk").cast("binary")).alias("chunk"))
+
+
+@query()
+def x6_sentence_chunks(t):
+    return E.chunked(t.documents, "doc_id", "text")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+def x2_page_title(t):
+    return E.pages(t.pages).select("page_id", "title")
+
+
+@query()
+def x1_main_text(t):
+    return E.pages(t.pages).select("page_id", "content")
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<(ul|ol)>')) AS lists, false AS rendered FROM pages")
+def x3_lists_and_scripts(t):
+    return E.pages(t.pages).select("page_id", F.size("lists").cast("long").alias("lists"), "rendered")
+
+
+_MAIL = X.rows("id, body", "(1, 'Thanks!' || chr(10) || chr(10) || 'On Monday Ann wrote:' || chr(10) || '> Hello' || chr(10) || '> > Older' || chr(10) || '> bye')", "(2, 'Top' || chr(10) || '-----Original Message-----' || chr(10) || 'Below')", "(3, NULL)")
+
+
+@query()
+def x7_thread_turns(t):
+    return E.threads(t.inline(_MAIL), "id", "body")
+
+
+@query("SELECT * FROM (VALUES (1, 'see the site' || chr(10) || chr(10) || 'next')) AS t(id, body)")
+def x9_body_normal(t):
+    rows = t.inline("SELECT 1 AS id, 'see <mailto:a@x.org>the site <https://x.org>  ' || chr(10) || chr(10) || chr(10) || 'next' AS body")
+    out = F.regexp_replace(F.regexp_replace("body", r"<(?:mailto:|https?://)[^>]*>", ""), r"(?m)[ \t]+$", "")
+    return rows.select("id", F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n")).alias("body"))
+
+
+@query(f"SELECT id FROM ({X.DOCUMENTS}) WHERE id = 'd6'")
+def x10_mail_junk(t):
+    lines = F.filter(F.split(F.trim("content"), "\n"), lambda x: F.trim(x) != "")
+    quoted = F.filter(lines, lambda x: F.ltrim(x).startswith(">"))
+    own = F.array_join(F.filter(lines, lambda x: ~F.ltrim(x).startswith(">") & ~x.rlike(r"^On .+ wrote:?\s*$")), "\n")
+    return t.inline(X.DOCUMENTS).filter((F.size(quoted) / F.greatest(F.size(lines), F.lit(1)) > 0.4) & (F.length(own) < 50)).select("id")
+
+
+@query("SELECT 'd8' AS id")
+def x11_mail_stub(t):
+    body = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: ~x.isin("", "---"))
+    filler = F.forall(body, lambda x: x.rlike(r"(?i)^(to|from|cc|bcc|subject|reply-to):\s*(|empty|\(empty\)|-|none|n/a|na|tbd)\s*$"))
+    return t.inline(X.DOCUMENTS).filter((c("language") == "email") & (F.size(body) > 0) & filler).select("id")
+
+
+@query("""SELECT * FROM (VALUES ('e1', '2024-01-31 09:00:00'), ('e2', '2024-01-30 22:00:00'), ('e3', '2024-02-02 00:00:00'), ('e6', '2024-01-31 09:00:00'), ('e7::2024-01-31T08:00', '2024-01-31 08:00:00'),
+('e7::2024-02-01T08:00', '2024-02-01 08:00:00'), ('e7::2024-02-02T08:00', '2024-02-02 08:00:00'), ('e8::2024-01-31T08:00', '2024-01-31 08:00:00'), ('e9', '2024-01-31 08:00:00')) AS t(uid, dtstart)""")
+def x12_recurrence(t):
+    return E.expanded(t.inline(X.EVENTS), "2024-01-31 00:00:00", "2024-02-03 00:00:00").select("uid", "dtstart")
+
+
+@query("SELECT * FROM (VALUES ('u1', 'first'), ('u2', 'other')) AS t(url, title)")
+def x13_source_list(t):
+    rows = t.inline(X.rows("pos, url, title, text", "(1, 'u1', 'first', 'good')", "(2, 'u1', 'second', 'good')", "(3, 'u2', 'other', 'fine')", "(4, 'u3', 'bad', 'please subscribe')"))
+    return rows.filter(~c("text").rlike("subscribe|cookie")).groupBy("url").agg(F.min_by("title", "pos").alias("title"))
+
+
+@query("SELECT * FROM (VALUES (1, '2024-01-31 09:30:00'), (2, '2024-01-31 08:00:00'), (3, '2024-01-31 07:00:00'), (4, NULL), (5, '2024-02-29 00:00:00')) AS t(id, next)")
+def f32_next_run(t):
+    after = datetime(2024, 1, 31)
+
+    @F.pandas_udf("string")
+    def run(schedule: pd.Series, clock: pd.Series, day: pd.Series) -> pd.Series:
+        out = [E.next_run(s, k, None if pd.isna(d) else int(d), after) for s, k, d in zip(schedule, clock, day, strict=True)]
+        return pd.Series([x.isoformat(" ") if x else None for x in out], dtype=object)
+
+    return t.inline(X.TASKS).select("id", run("schedule", "clock", c("day").cast("double")).alias("next"))
+
+
+@query("SELECT * FROM (VALUES (1, 1), (2, 2), (3, 0)) AS t(id, objects)")
+def f23_tolerant_json(t):
+    @F.pandas_udf("int")
+    def count(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: len(E.json_objects(x)))
+
+    rows = t.inline(X.rows("id, text", "(1, 'Sure: ```json [{\"a\": 1}]```')", "(2, '[{\"a\": 1}, {\"b\": 2}, {\"c\": ')", "(3, 'nothing')"))
+    return rows.select("id", count("text").alias("objects"))
+
+
+@query("SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, NULL)) AS t(id, object)")
+def q25_unique_object(t):
+    @F.pandas_udf("string")
+    def only(text: pd.Series) -> pd.Series:
+        import json
+
+        found = text.map(E.json_objects)
+        return found.map(lambda x: json.dumps(x[0]) if len(x) == 1 else None)
+
+    return t.inline(X.rows("id, text", "(1, 'Here: {\"a\": 1}')", "(2, '[{\"a\": 1}, {\"b\": 2}]')")).select("id", only("text").alias("object"))
+
+
+@query("SELECT * FROM (VALUES (1, 7), (2, 7)) AS t(id, changed)")
+def f42_unified_diff(t):
+    import difflib
+
+    @F.pandas_udf("int")
+    def size(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(list(difflib.unified_diff(x.splitlines(), y.splitlines(), lineterm=""))) for x, y in zip(a, b, strict=True)])
+
+    rows = t.inline(X.rows("id, a, b", "(1, 'x' || chr(10) || 'y' || chr(10) || 'z', 'x' || chr(10) || 'q' || chr(10) || 'z')", "(2, 'a' || chr(10) || 'b' || chr(10) || 'c', 'a' || chr(10) || 'B' || chr(10) || 'c')"))
+    return rows.select("id", size("a", "b").alias("changed"))
+
+
+_JSON = "SELECT * FROM (VALUES ('a.json', '[{\"id\": \"1\", \"text\": \"x\"}, 5, {\"text\": \"y\", \"uses\": 3}]'), ('b.json', 'line one' || chr(10) || chr(10) || 'line two'), ('c.json', ''), ('d.json', '{\"q\": \"term\"}')) AS t(path, value)"
+
+
+@query("SELECT * FROM (VALUES ('x', 'fact', 0::BIGINT), ('y', 'fact', 3::BIGINT)) AS t(text, category, uses)")
+def s2_json_list(t):
+    return S.memories(t.inline(_JSON).filter("path = 'a.json'")).select("text", "category", "uses")
+
+
+@query("SELECT * FROM (VALUES ('line one', 'fact'), ('line two', 'fact')) AS t(text, category)")
+def s3_legacy_lines(t):
+    return S.memory_lines(t.inline(_JSON).filter("path <> 'c.json'"))
+
+
+@query("SELECT * FROM (VALUES ('d.json', 'term')) AS t(path, q)")
+def s4_json_directory(t):
+    return S.json_directory(t.inline(_JSON).filter("path <> 'a.json'"), "q string")
+
+
+@query("SELECT * FROM (VALUES ('b.json'), ('c.json')) AS t(path)")
+def s5_broken_files(t):
+    return S.broken(t.inline(_JSON))
+
+
+@query("SELECT count(*) AS chunks FROM (SELECT DISTINCT substr(x, i * 800 + 1, 1000) FROM (SELECT trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS x, unnest(generate_series(0, ceil(greatest(length(trim(text, ' ' || chr(9) || chr(13) || chr(10))) - 1000, 0) / 800.0)::BIGINT)) AS i FROM documents))")
+def s7_chunk_index(t):
+    return S.index(t.documents.select(c("doc_id").cast("string").alias("path"), "text")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("SELECT * FROM (VALUES ('Ann', 'ann@x.org')) AS t(name, email)")
+def s8_contacts_csv(t):
+    rows = t.inline("SELECT * FROM (VALUES ('Ann', '1', ' ANN@x.org '), ('Bob', '2', 'none')) AS t(`Full Name`, Phone, `E-Mail`)")
+    return S.contacts_csv(rows)
+
+
+@query("SELECT * FROM (VALUES (1, 'Ann', 'ann@x.org', '1'), (1, 'Ann', 'Ann@Work.com', '2'), (1, 'Ann', '', '3'), (2, 'Bob', 'bob@x.org', ''), (3, 'Cy', '', ''), (4, 'Annie', 'ANN@x.org', '9')) AS t(id, name, email, phone)")
+def s9_contact_rows(t):
+    return S.contact_rows(t.inline(X.CONTACTS))
+
+
+_CARD = "SELECT 'BEGIN:VCARD' || chr(10) || 'FN:Ann Berg' || chr(10) || 'item1.EMAIL;TYPE=home:ann@x.org' || chr(10) || 'EMAIL:ann@x.org' || chr(10) || 'TEL:1' || chr(10) || 'ADR:;;Street 1;Oslo;;;NO' || chr(10) || 'END:VCARD' AS value"
+
+
+@query("SELECT 'Ann Berg' AS name, 'ann@x.org' AS emails, '1' AS phones, 'Street 1, Oslo, NO' AS address")
+def s10_vcards(t):
+    return S.vcards(t.inline(_CARD)).select("name", F.array_join("emails", ";").alias("emails"), F.array_join("phones", ";").alias("phones"), "address")
+
+
+@query("SELECT * FROM (VALUES ('Bob', 'bob@x.org')) AS t(name, email)")
+def s11_new_contacts(t):
+    known = t.inline(X.rows("email", "('ANN@x.org')"))
+    return S.new_contacts(known, t.inline(X.rows("name, email", "('Ann', 'ann@x.org')", "('Bob', 'bob@x.org')", "('Rob', 'BOB@x.org')")))
+
+
+_ICS = "SELECT 'BEGIN:VEVENT' || chr(10) || 'UID:1' || chr(10) || 'SUMMARY:Tea\\, cake' || chr(10) || 'DTSTART:20240131T090000Z' || chr(10) || 'END:VEVENT' || chr(10) || 'BEGIN:VEVENT' || chr(10) || 'UID:2' || chr(10) || 'SUMMARY:Off' || chr(10) || 'DTSTART;VALUE=DATE:20240201' || chr(10) || 'END:VEVENT' AS value"
+
+
+@query("SELECT * FROM (VALUES ('1', '2024-01-31 09:00:00', '2024-01-31 10:00:00', false), ('2', '2024-02-01 00:00:00', '2024-02-02 00:00:00', true)) AS t(uid, s, f, all_day)")
+def s12_calendar_import(t):
+    form = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return S.calendar(t.inline(_ICS)).select("uid", form("dtstart").alias("s"), form("dtend").alias("f"), "all_day")
+
+
+@query(f"""SELECT uid, md5('BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || uid || chr(13) || chr(10) || 'SUMMARY:' || summary || chr(13) || chr(10) || 'DTSTART:' || strftime(dtstart::TIMESTAMP, '%Y%m%dT%H%M%S')
+|| chr(13) || chr(10) || 'DTEND:' || strftime(dtend::TIMESTAMP, '%Y%m%dT%H%M%S') || chr(13) || chr(10) || 'END:VEVENT') AS line FROM ({X.EVENTS})""")
+def s13_calendar_export(t):
+    return S.calendar_lines(t.inline(X.EVENTS)).select("uid", F.md5(c("value").cast("binary")).alias("line"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' AND user_id IN (1, 2, 3, 4, 5, 6, 7, 8, 9)")
+def s14_pushed_predicates(t):
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    return t.events.filter((c("event_type") == "purchase") & (c("ts") >= day("2024-01-10")) & (c("ts") < day("2024-01-12")) & c("user_id").between(1, 9)).select("event_id")
+
+
+@query("SELECT * FROM (VALUES ('a', 'x1'), ('b', 'y2')) AS t(q, hit)")
+def s15_first_provider(t):
+    return S.first_provider([t.inline(X.rows("q, hit", "('a', 'x1')")), t.inline(X.rows("q, hit", "('a', 'y1')", "('b', 'y2')"))], "q")
+
+
+@query("SELECT event_id, sha256(event_id::VARCHAR) AS name FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' ORDER BY ts DESC, event_id LIMIT 1000")
+def s17_cache(t):
+    return S.cached(t.events, "event_id", "ts", F.lit(X.NOW), 86400).select("event_id", "name")
+
+
+@query("SELECT conv_id, md5(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS export FROM conversations GROUP BY conv_id")
+def s19_export(t):
+    return S.transcript(t.conversations, "conv_id", "turn", "role", "text").select("conv_id", F.md5(c("export").cast("binary")).alias("export"))
+
+
+@query("SELECT doc_id, line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line FROM documents) WHERE regexp_matches(text, '[Ll]icense') ORDER BY doc_id, line LIMIT 200")
+def s20_grep(t):
+    return S.grep(t.documents, "[Ll]icense", "doc_id", "text")
+
+
+@query("SELECT * FROM (VALUES (3, 'c'), (2, 'b')) AS t(line, text)")
+def q21_tail(t):
+    return S.tail(t.inline("SELECT 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) AS value"), "value", 2)
