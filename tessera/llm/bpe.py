@@ -1,7 +1,7 @@
 """Byte-level BPE of whole Arrow columns: each distinct piece of text is encoded once by the tokenizers library.
 
-A text is cut where the vocabulary's own pre-tokenizer always cuts: before white space after ink, after a line break or
-tab before ink, and between ASCII letters, digits and punctuation other than the apostrophe. Pieces are found and
+A text is cut where the vocabulary's own pre-tokenizer always cuts: before white space after ink, after a lone line break
+or tab before ink, and between ASCII letters, digits and punctuation other than the apostrophe. Pieces are found and
 compared in numpy, and a bounded cache of their ids stays in the worker process between tasks.
 """
 
@@ -103,6 +103,10 @@ class Encoder:
         c = _CLASS[data]
         first = np.zeros(len(data), bool)
         first[1:] = _CUT[c[:-1], c[1:]]
+        # How a longer run of white space is split depends on what follows, so only a single break is left behind.
+        lone = (c[1:-1] != 7) | _INK(c[:-2])
+        lone[starts[:-1][(starts[:-1] > 0) & (starts[:-1] < len(data) - 1)] - 1] = True
+        first[2:] &= lone
         first[starts[:-1][starts[:-1] < len(data)]] = True
         a = np.flatnonzero(first)
         b = np.append(a[1:], len(data)) if len(a) else a
