@@ -91,8 +91,11 @@ def score(x: np.ndarray, owner: np.ndarray, n: int, m: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_attend(x, owner, n, m)[-1], -35, 35)))
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> dict:
-    """Adam on the log loss, with a decaying rate. Without both labels the score is constant."""
+def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, steps: int = 900, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> dict:
+    """Adam on the log loss, with a decaying rate, for so many epochs and steps at least.
+
+    Without both labels the score is constant.
+    """
     rng = np.random.default_rng(seed)
     m = {k: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32) for k, s in (("w1", (WIDTH, HIDDEN)), ("v", (HIDDEN, GATES)), ("u", (HIDDEN, GATES)), ("w", (GATES,)), ("c", (HIDDEN,)))}
     m |= {"b1": np.zeros(HIDDEN, np.float32), "c0": np.zeros(1, np.float32)}
@@ -101,6 +104,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int =
         m["c0"][:] = 0 if not len(y) else (4 if y[0] else -4)
         return m
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    epochs = max(epochs, -(-steps * batch // len(bags)))
     step, last = 0, epochs * -(-len(bags) // batch)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(bags)), -(-len(bags) // batch)):
@@ -149,7 +153,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, passages: int =
 
 
 def classify(docs: DataFrame, model: dict, keep: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted, of every row; a null text counts as empty, a null id as not held out."""
+    """docs with _score and _predicted, whole texts; a null text counts as empty. Input columns of these names go."""
+    docs = docs.drop("_score", "_predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
