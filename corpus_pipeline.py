@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, lines, packing, quality
-from tessera.llm._stage import Workspace
+from tessera.llm._stage import Workspace, packed, unpacked
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,7 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, without their hosts' boilerplate lines; n_chars is the new length."""
-    return lines.drop_lines(docs).withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    out = lines.drop_lines(docs)
+    length = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.withColumn("n_chars", length).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = judged.withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     judged = space.keep("judged", judged.filter("gone or (rows > 1 and n_shingles > 0)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone"))
     gone, repeated = judged.filter("gone").drop("gone"), judged.filter("not gone").drop("gone")
-    named = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = packed(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     kept = named.join(F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone, same, "left_anti")
     if not repeated.isEmpty():
-        again = kept.join(repeated, same, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy("source", "lang")))
+        again = kept.join(repeated, same, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row"))))
         kept = kept.join(repeated, same, "left_anti").unionByName(again.filter("_row = 1").drop("_row"))
-    return kept.select(*docs.columns)
+    return unpacked(kept, docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rows=False)
     bad = space.keep("bad", found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")))
     bad = F.broadcast(bad) if bad.count() <= decontam.BROADCAST_ROWS else bad
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_hash")), "left_anti")
+    named = packed(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64(F.coalesce("text", F.lit(""))))
+    return unpacked(named.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti"), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def packed(df: DataFrame, **fields) -> DataFrame:
+    """The whole row as one struct, row, with the named fields beside it: no column of df can clash with theirs."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(f.alias(k) for k, f in fields.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str], **own) -> DataFrame:
+    """The row's columns again, some replaced and some added by own; an own column takes the place of an old one."""
+    old = [own.pop(c).alias(c) if c in own else F.col(f"row.`{c}`") for c in columns]
+    return df.select(*old, *(f.alias(k) for k, f in own.items()))
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text, as a column; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -37,8 +37,8 @@ BROADCAST_ROWS = 500_000
 #: Orders in which a shingle's least node is a hub, and hubs that a node is compared with in a round.
 SEEDS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82B)
 HUBS, BEST = 2, 3
-#: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times.
-TIMES = 4
+#: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times, and SPARE.
+TIMES, SPARE = 4, 100_000
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ class Join:
             if last or not left:
                 return roots, links
             entries = entries.join(split.select("token"), "token", "left_semi")
-            last = left <= TIMES * size + 100_000 or self.rounds >= len(SEEDS) - HUBS
+            last = left <= TIMES * size + SPARE or self.rounds >= len(SEEDS) - HUBS
             if last:
                 new = self.between(entries, split.select("token", "major"))
             else:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import Workspace
+from ._stage import Workspace, packed, unpacked
 
 #: Share of a host's pages, and number of pages, from which on a line is boilerplate.
 RATIO, PAGES = 0.1, 10
@@ -24,31 +24,36 @@ def _key(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, pages: int) -> DataFrame:
-    """(_host, _line): md5 of each boilerplate line by host. Counting moves one row for a line and task at most."""
-    total = docs.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
-    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: _key(x) != ""), lambda x: F.unhex(F.md5(_key(x).cast("binary")))))
-    seen = docs.select(F.col(host).alias("_host"), F.explode(lines).alias("_line"))
-    seen = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= pages)
+def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
+    """(host, line) from (host, text): md5 of each boilerplate line by host.
+
+    Counting moves one row for each line, host and task at most.
+    """
+    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: _key(x) != ""), lambda x: F.unhex(F.md5(_key(x).cast("binary")))))
+    seen = pages.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     # What is left has one row for a line on at least so many pages, and there is one total for each host.
-    both = seen.alias("s").join(total.alias("t"), F.col("s._host").eqNullSafe(F.col("t._host")))
-    return both.filter(F.col("_n") > F.col("_pages") * ratio).select("s._host", "_line")
+    both = seen.alias("s").join(total.alias("t"), F.col("s.host").eqNullSafe(F.col("t.host")))
+    return both.filter(F.col("n") > F.col("pages") * ratio).select("s.host", "line")
 
 
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
-    """docs with the text cleaned, and _n_lines and _n_dropped added; other columns as they are."""
-    listed = Workspace(docs.sparkSession, "lines").keep("boilerplate", boilerplate(docs, host, text, ratio, pages))
+    """docs with the text cleaned, and _n_lines and _n_dropped added; other columns as they are.
+
+    Input columns named _n_lines or _n_dropped are replaced; no other name can clash.
+    """
+    rows = packed(docs, host=F.col(f"`{host}`"), text=F.col(f"`{text}`"))
+    listed = Workspace(docs.sparkSession, "lines").keep("boilerplate", boilerplate(rows.select("host", "text"), ratio, pages))
     few = listed.count() <= BROADCAST_LINES
     # A host's set has fewer lines than its lines a page divided by the ratio, so one row for each host joins the pages.
-    listed = listed.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
+    listed = listed.groupBy(F.col("host").alias("of")).agg(F.collect_set("line").alias("drop"))
     listed = F.broadcast(listed) if few else listed
-    out = docs.join(listed, docs[host].eqNullSafe(listed["_host"]), "left").drop("_host")
-    lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drop", F.unhex(F.md5(_key(x).cast("binary"))))))
-    out = out.withColumn("_kept", kept)
-    out = out.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("_n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_kept", "_drop")
+    out = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left")
+    lines = F.split("text", "\n", -1)
+    out = out.withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", F.unhex(F.md5(_key(x).cast("binary")))))))
+    n = F.coalesce(F.size(lines), F.lit(0))
+    gone = F.when(F.col("kept").isNull(), 0).otherwise(F.size(lines) - F.size("kept"))
+    return unpacked(out, docs.columns, **{text: F.array_join("kept", "\n"), "_n_lines": n.cast("long"), "_n_dropped": gone.cast("long")})
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

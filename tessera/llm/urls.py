@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import packed, unpacked
+
 #: (host, path, verdict). Fixed values.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,19 +94,22 @@ def spam_titles(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict: the longest fitting rule's, else block if the URL is on the list."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
+    """pages with host, path, rule, verdict and listed: the longest fitting rule's verdict, else block for a listed URL.
+
+    Input columns of these names are replaced; no other name can clash.
+    """
+    rows = packed(pages, _host=host_of(F.col(f"`{url}`")), _path=path_of(F.col(f"`{url}`")))
     rule, verdict = ruled(F.col("_host"), F.col("_path"))
-    pages = pages.withColumns({"_host": host, "_path": path})
-    pages = pages.withColumns({"_rule": rule, "_verdict": verdict, "_url": canonical(F.col("_host"), F.col("_path"))})
-    out = on_list(pages, listed)
-    return out.withColumn("_verdict", F.coalesce("_verdict", F.when(F.col("_listed"), "block").otherwise("allow")))
+    rows = rows.withColumns({"_rule": rule, "_verdict": verdict, "_url": canonical(F.col("_host"), F.col("_path"))})
+    out = on_list(rows, listed)
+    verdict = F.coalesce("_verdict", F.when(F.col("_listed"), "block").otherwise("allow"))
+    return unpacked(out, pages.columns, host=F.col("_host"), path=F.col("_path"), rule=F.col("_rule"), verdict=verdict, listed=F.col("_listed"))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = judge(pages.select("page_id", "url"), spam_titles(pages.select("url", "html")))
-    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.col("_listed").alias("listed"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 _FITS = " ".join(
