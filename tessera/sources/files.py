@@ -114,7 +114,7 @@ def new_events(known: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def escaped(text: Column) -> Column:
     out = text
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
