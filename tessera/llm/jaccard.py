@@ -9,9 +9,9 @@ places of the shared shingle) and the suffix filter (the hash space is cut into
 the smaller counts of each range bounds the overlap; before that, a node's bitmap of odd counts in SKETCH ranges does: two
 bitmaps differ in no more bits than the sets in shingles). The rest are verified once on the whole sets.
 
-all_links() verifies every candidate. near_duplicates() needs only the classes: each shingle's nodes meet that
-shingle's hubs first, the classes found so far are contracted, and then only candidates between different classes
-are left; all of those are verified too. No link between two classes is lost, and a large group of near
+all_links() verifies every candidate. near_duplicates() needs only the classes: the two nodes of a shingle that has no
+more meet at once, the nodes of another meet that shingle's hubs first (its least and its greatest node), the classes
+found so far are contracted, and then only candidates between different classes are left; all of those are verified too. No link between two classes is lost, and a large group of near
 copies costs a multiple of its size instead of its square.
 
 A null or empty text, or one without words, has an empty set and links with nothing. A text of fewer than GRAM
@@ -32,11 +32,11 @@ from ._stage import Workspace
 
 GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 256
 BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
-#: Node ids up to so many rows are broadcast to fetch their texts; beyond, that join shuffles.
+#: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Orders in which a shingle's least node is a hub, and hubs that a node is compared with in a round.
-SEEDS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82B)
-HUBS, BEST = 2, 3
+#: Orders in which a shingle's least node is its hub in later rounds, and hubs that a node is compared with in a round.
+SEEDS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85)
+BEST = 3
 #: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times, and SPARE.
 TIMES, SPARE = 4, 100_000
 
@@ -154,31 +154,34 @@ class Join:
         self.marks = marks.select("doc_id", "text_hash", "node", "n")
         nodes = marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parts").alias("parts"), *(F.max(b).alias(b) for b in BITMAP))
         self.nodes = self.space.keep("nodes", nodes)
-        self.shared = self.space.keep("shared", self._shared(_entries(self.docs, rank)))
+        entries = _entries(self.docs, rank)
+        tokens = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
+        tokens = self.space.keep("tokens", tokens)
+        # Two rows are the two nodes; more rows may be copies, and meet by the shingle.
+        self.twos = tokens.filter("rows = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
+        shared = entries.join(tokens.filter("rows > 2").select("token", "lo", "hi"), "token").distinct()
+        self.shared = self.space.keep("shared", shared)
         self.rounds = 0
 
-    def _shared(self, entries: DataFrame) -> DataFrame:
-        """Prefix entries of shingles that two nodes share, once each, with the shingle's first hubs."""
-        hubs = [F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"hub{i}") for i, s in enumerate(SEEDS[:HUBS])]
-        tokens = entries.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), *hubs).filter("_lo <> _hi").drop("_lo", "_hi")
-        return entries.join(tokens, "token").distinct()
-
     def pairs(self, candidates: DataFrame) -> DataFrame:
         """(a, b), a < b, once each."""
         return candidates.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def _near(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
+        """Pairs that pass the length filter and whose bitmaps do not forbid them, with far, the share of differing bits."""
+        side = lambda c: self.nodes.select(F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", *BITMAP)))
+        pairs = pairs.join(side(x), x).join(side(y), y)
+        n, m, differ = F.col(f"{x}_n"), F.col(f"{y}_n"), _differ(f"{x}_", f"{y}_")
+        return pairs.filter(_close(n, m) & (differ <= _may_differ(n, m))).withColumn("far", differ / (n + m))
+
     def to_hubs(self, met: DataFrame) -> DataFrame:
         """Candidates of each node among the hubs (node, hub) that it meets: the BEST whose bitmaps differ least.
 
         The others are not lost: unless their classes become one, between() comes to them.
         """
-        met = met.filter("node <> hub").distinct()
-        side = lambda c: self.nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *BITMAP)))
-        met = met.join(side("hub"), "hub").join(side("node"), "node")
-        differ, most = _differ("node_", "hub_"), _may_differ(F.col("node_n"), F.col("hub_n"))
-        met = met.filter(_close(F.col("node_n"), F.col("hub_n")) & (differ <= most)).withColumn("_far", differ / (F.col("node_n") + F.col("hub_n")))
+        met = self._near(met.filter("node <> hub").distinct(), "hub", "node")
         # A node has at most as many rows as its prefix has shingles, times the hubs.
-        best = F.row_number().over(Window.partitionBy("node").orderBy("_far", "hub"))
+        best = F.row_number().over(Window.partitionBy("node").orderBy("far", "hub"))
         return met.withColumn("_rank", best).filter(F.col("_rank") <= BEST).select(F.col("node").alias("x"), F.col("hub").alias("y"))
 
     def between(self, entries: DataFrame, major: DataFrame | None = None) -> DataFrame:
@@ -251,31 +254,39 @@ class Join:
 
     def all_links(self) -> DataFrame:
         """Every link (a, b) between different sets."""
-        return self.verify(self.pairs(self.between(self.shared)))
+        pairs = self.between(self.shared.drop("lo", "hi")).union(self._near(self.twos.distinct(), "x", "y").select("x", "y"))
+        return self.verify(self.space.keep("pairs", self.pairs(pairs)))
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(node, root) of the nodes that link with another, and the links that were verified."""
         size = self.shared.count()
-        hubs = F.array(*(c for c in self.shared.columns if c.startswith("hub")))
-        tried = self.space.keep("tried0", self.pairs(self.to_hubs(self.shared.select("node", F.explode(hubs).alias("hub")))))
-        links, last = self.verify(tried), False
+        twos = self._near(self.twos.distinct(), "x", "y").select("x", "y")
+        met = self.to_hubs(self.shared.select("node", F.explode(F.array("lo", "hi")).alias("hub")))
+        tried = self.space.keep("tried0", self.pairs(twos.union(met)))
+        entries, last = self.shared.drop("lo", "hi"), False
+        links = self.verify(tried)
         while True:
             roots = components(links, self.space, f"roots{self.rounds}")
-            entries = self.shared.drop(*(c for c in self.shared.columns if c.startswith("hub"))).join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            each = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_c"))
+            roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+            if last:
+                return roots, links
+            named = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            each = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_c"))
             split = each.groupBy("token").agg(F.max(F.struct("_c", "label"))["label"].alias("major"), F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_own"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
             split = self.space.keep(f"split{self.rounds}", split.filter("_lo <> _hi").select("token", "major", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("left")))
             left = split.agg(F.sum("left")).first()[0] or 0
-            if last or not left:
+            if not left:
                 return roots, links
-            entries = entries.join(split.select("token"), "token", "left_semi")
-            last = left <= TIMES * size + SPARE or self.rounds >= len(SEEDS) - HUBS
+            # Shingles whose nodes are all of one class are done with.
+            entries = self.space.keep(f"open{self.rounds}", entries.join(split.select("token"), "token", "left_semi"))
+            named = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            last = left <= TIMES * size + SPARE or self.rounds > len(SEEDS)
             if last:
-                new = self.between(entries, split.select("token", "major"))
+                new = self.between(named, split.select("token", "major"))
             else:
-                seed = SEEDS[HUBS + self.rounds - 1]
+                seed = SEEDS[self.rounds - 1]
                 hubs = entries.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(F.lit(seed))).bitwiseXOR(F.lit(seed)).alias("hub"))
-                met = entries.join(hubs, "token").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("_root")), "hub", "left")
+                met = named.join(hubs, "token").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("_root")), "hub", "left")
                 new = self.to_hubs(met.filter(F.col("label") != F.coalesce("_root", "hub")).select("node", "hub"))
             new = self.pairs(new).join(tried, ["a", "b"], "left_anti")
             new = self.space.keep(f"tried{self.rounds}", new)
@@ -286,24 +297,21 @@ class Join:
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) for the nodes of links (a, b), root the least node of each component.
 
-    Alternating large-star and small-star steps, until a round changes nothing; each step moves a row for each edge.
+    Alternating large-star and small-star steps until all edges are stars; each step moves a row for each edge.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before, k = None, 0
+    edges, k = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = space.keep(f"{name}_{k}", small)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        if k:
-            space.drop(f"{name}_{k - 1}") if k > 1 else None
-        before, k = now, k + 1
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+        edges, k = space.keep(f"{name}_{k}", small), k + 1
+        # Stars: each node but a root has one edge, to a root, which has none upwards.
+        ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("w").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.filter("up > 1 or up = 1 and root = 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
