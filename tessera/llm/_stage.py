@@ -45,11 +45,6 @@ class Workspace:
         fs.delete(p, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (a count decides); else Spark shuffles it."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def packed(df: DataFrame, **fields) -> DataFrame:
     """The whole row as one struct, row, with the named fields beside it: no column of df can clash with theirs."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(f.alias(k) for k, f in fields.items()))
