@@ -101,8 +101,8 @@ def content_id(text: Column, owner: Column | None = None) -> Column:
 
 def key_points(text: Column) -> Column:
     """Bulleted or numbered lines without their marks."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^([-*•]|\d+\.)\s+"))
-    return F.transform(lines, lambda x: F.regexp_replace(F.trim(x), r"^([-*•]|\d+\.)\s+", ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^([-*•]|\d+[.)])\s+"))
+    return F.transform(lines, lambda x: F.regexp_replace(F.trim(x), r"^([-*•]|\d+[.)])\s+", ""))
 
 
 def sentences(text: Column) -> Column:
@@ -119,8 +119,27 @@ def quotes(text: Column) -> Column:
 
 
 def statistics(text: Column) -> Column:
-    """Numbers with thousands marks, a fraction, and a percent sign or a unit of size."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\b\d+(,\d{3})*(\.\d+)?\s*(%|percent|million|billion|thousand)?)"), 1), lambda x: F.trim(x))
+    """Numbers, with or without thousands marks and a fraction, and the unit or percent sign behind them."""
+    number = r"(\b(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?:%|percent|‰|per cent|[a-zA-Z]+)?)"
+    return F.transform(F.regexp_extract_all(text, F.lit(number), 1), lambda x: F.trim(x))
+
+
+def memory_command(text: Column) -> Column:
+    """What a message asks to remember; null if it does not."""
+    return F.nullif(F.trim(F.regexp_extract(F.trim(text), r"(?i)^(?:remember|memorize|save|note|store)[:\-]?\s+(.+)$", 1)), F.lit(""))
+
+
+def memory_value(text: Column, most: int = 80) -> Column:
+    """Collapsed, without marks around it and a leading article; empty if long, a link, an address or markup."""
+    v = F.regexp_replace(F.trim(collapsed(F.coalesce(text, F.lit(""))), F.lit(" .,!?:;\"'`“”‘’")), r"(?i)^(?:the|a|an)\s+", "")
+    return F.when((F.length(v) > most) | v.rlike(r"https?://|@|[{}<>]"), "").otherwise(v)
+
+
+def bullets(text: Column) -> Column:
+    """The texts of bulleted and numbered lines; empty ones are left out."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    marked = F.filter(lines, lambda x: x.rlike(r"^(?:[-*•]|\d+\.)"))
+    return F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"^(?:[-*•]|\d+\.)\s*", ""))), lambda x: x != "")
 
 
 def estimate_tokens(length: Column) -> Column:

@@ -60,7 +60,7 @@ def components(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
     both, labels = both.checkpoint(), labels.checkpoint()
     while True:
         near = both.join(labels.select(F.col("v").alias("o"), "label"), "o").groupBy("v").agg(F.min("label").alias("least"))

@@ -13,7 +13,10 @@ from tessera.plans.registry import query
 from tessera.plans.relational import _pulls
 
 c = F.col
-NOW = F.lit(X.NOW).cast("timestamp")
+
+
+def _now():
+    return F.lit(X.NOW).cast("timestamp")
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
 
 
@@ -47,7 +50,7 @@ def r1_transcript_search(t):
 
 @query()
 def r2_web_ranking(t):
-    rows = t.inline(X.WEB).withColumn("score", S.web_score("latest news sweden", NOW))
+    rows = t.inline(X.WEB).withColumn("score", S.web_score("latest news sweden", _now()))
     return rows.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id")
 
 
@@ -73,7 +76,7 @@ def r4_memory_routing(t):
 
 @query()
 def r5_hybrid_memory(t):
-    days = (F.unix_seconds(NOW) - F.coalesce("ts", F.lit(0))) / 86400
+    days = (F.unix_seconds(_now()) - F.coalesce("ts", F.lit(0))) / 86400
     vectors = t.inline(X.rows("id, similarity", "('k2', 0.8)", "('k5', 0.15)", "('k7', 0.6)"))
     rows = S.hybrid_memory(t.inline(X.MEMORIES), ["green", "tea", "walks", "tea"], "id", "text", days, vectors)
     return rows.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(5)
@@ -272,7 +275,7 @@ def _pull_score(t):
     overlap = shared.join(often, "f").groupBy("number").agg(F.count(F.lit(1)).alias("overlap"))
     text = F.lower(F.concat_ws(" ", "title", F.array_join("files", " ")))
     any_of = lambda *w: F.when(text.rlike("|".join(w)), 1).otherwise(0)
-    days = F.datediff(NOW, c("updated_at").cast("timestamp"))
+    days = F.datediff(_now(), c("updated_at").cast("timestamp"))
     score = (
         F.when(text.rlike("auth|token"), 45).when(text.rlike("security|secret|privilege|permission"), 22).otherwise(0)
         + 18 * any_of("leak", "exposure", "cross-user", "cross user", "privacy") + 20 * any_of("data-loss", "persistence", "migration", "database", "sqlite", "postgres")

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tessera.plans import extraction, ranking, relational, stateful, tidy  # noqa: F401
+    from tessera.plans import extraction, more, ranking, relational, stateful, tidy  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -11,17 +11,20 @@ from tessera.plans import fixtures as X
 from tessera.plans.registry import query
 
 c = F.col
-NOW = F.lit(X.NOW)
+
+
+def _now():
+    return F.lit(X.NOW)
 
 
 @query("SELECT * FROM (VALUES ('s1'), ('s5'), ('s10')) AS t(id)")
 def ta_archive(t):
-    return K.to_archive(t.inline(X.SESSIONS), NOW).select("id")
+    return K.to_archive(t.inline(X.SESSIONS), _now()).select("id")
 
 
 @query("SELECT * FROM (VALUES ('s3', 1024::BIGINT)) AS t(id, freed)")
 def tb_delete(t):
-    return K.to_delete(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW, recent=3).select("id", "freed")
+    return K.to_delete(t.inline(X.SESSIONS), t.inline(X.MESSAGES), _now(), recent=3).select("id", "freed")
 
 
 @query(f"""SELECT id, CASE WHEN NOT coalesce(archived, false) THEN 'active' WHEN is_important THEN 'important' WHEN message_count >= 20 THEN 'long'
@@ -34,12 +37,12 @@ def tc_preview(t):
 
 @query("SELECT * FROM (VALUES ('s1', 'trivial'), ('s5', 'name'), ('s6', 'incognito'), ('s8', 'unanswered'), ('s10', 'empty')) AS t(id, reason)")
 def td_throwaway(t):
-    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW).select("id", "reason")
+    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), _now()).select("id", "reason")
 
 
 @query()
 def te_throwaway_mild(t):
-    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), NOW, aggressive=False).select("id", "reason")
+    return K.throwaway(t.inline(X.SESSIONS), t.inline(X.MESSAGES), _now(), aggressive=False).select("id", "reason")
 
 
 @query("SELECT * FROM (VALUES ('d4', 'title'), ('d5', 'empty'), ('d6', 'title'), ('d8', 'title'), ('d9', 'title')) AS t(id, reason)")
@@ -54,7 +57,7 @@ def tg_strict_documents(t):
 
 @query("SELECT * FROM (VALUES ('s10', 'delete'), ('s8', 'archive')) AS t(id, action)")
 def th_empty_or_old(t):
-    return K.empty_or_old(t.inline(X.SESSIONS), NOW).select("id", "action")
+    return K.empty_or_old(t.inline(X.SESSIONS), _now()).select("id", "action")
 
 
 @query("SELECT count(*) AS expired FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'")
@@ -84,7 +87,7 @@ def f4_domain(t):
 
 @query("SELECT event_id, CASE WHEN d <= 7 THEN 1.0 WHEN d >= 30 THEN 0.0 ELSE (30 - d) / 23.0::DOUBLE END::DOUBLE AS score FROM (SELECT event_id, floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - ts) / 86400)::BIGINT AS d FROM events)")
 def f5_recency(t):
-    return t.events.select("event_id", S.recency(c("ts").cast("string"), NOW.cast("timestamp")).alias("score"))
+    return t.events.select("event_id", S.recency(c("ts").cast("string"), _now().cast("timestamp")).alias("score"))
 
 
 @query()
@@ -147,8 +150,7 @@ def f11_quotes(t):
 @query("SELECT * FROM (VALUES (1, '50000 users|1,000,000|45%|2024')) AS t(id, found)")
 def f12_statistics(t):
     rows = t.inline("SELECT 1 AS id, 'From 50000 users, 1,000,000. About 45% in 2024.' AS text")
-    number = F.regexp_extract_all("text", F.lit(r"(\b(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?:%|percent|[a-zA-Z]+)?)"), 1)
-    return rows.select("id", F.array_join(F.transform(number, lambda x: F.trim(x)), "|").alias("found"))
+    return rows.select("id", F.array_join(T.statistics(c("text")), "|").alias("found"))
 
 
 @query(r"SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g'))) AS key FROM documents")
@@ -190,7 +192,7 @@ def f19_fact_patterns(t):
 @query("SELECT * FROM (VALUES (1, 'buy milk'), (2, NULL)) AS t(id, command)")
 def f21_memory_command(t):
     rows = t.inline(X.rows("id, text", "(1, 'Remember: buy milk')", "(2, 'I remember it')"))
-    return rows.select("id", F.nullif(F.trim(F.regexp_extract("text", r"(?i)^\s*(?:remember|memorize|note|save|store)\s*:\s*(.+)$", 1)), F.lit("")).alias("command"))
+    return rows.select("id", T.memory_command(c("text")).alias("command"))
 
 
 @query("SELECT * FROM (VALUES (1, 'Answer.'), (2, 'Rest')) AS t(id, shown)")
