@@ -2,7 +2,9 @@
 
 A document's set holds the hashes of its distinct GRAM-word shingles; two sets link if their Jaccard similarity is at
 least PERCENT. Equal sets are one node, so copies meet once. A first pass counts in how many documents the shingles
-of each of 2**BITS hash buckets stand; shingles are ordered by that count, rarest first, and then by hash.
+of each of 2**BITS hash buckets stand, and, by runs of about CHUNK shingles, the shingles that a run holds more than
+once; the COMMON most frequent of those have their own counts. Shingles are ordered by their own count, then by their
+bucket's, rarest first, and then by hash. Any such order is right; a better one leaves fewer candidates.
 Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles, the prefix, so only prefix shingles that two
 nodes share give candidates. Candidates pass the length filter, the positional filter (what can still follow the
 places of the shared shingle) and the suffix filter (the hash space is cut into PARTS ranges, and the sum of
@@ -31,13 +33,15 @@ from . import _text
 from ._stage import Workspace
 
 GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 256
+CHUNK, COMMON = 1 << 21, 1 << 17
 BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
 #: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
 #: Orders in which a shingle's least node is its hub in later rounds, and hubs that a node is compared with in a round.
 SEEDS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85)
 BEST = 3
-#: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times, and SPARE.
+#: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times, and SPARE,
+#: and a round halves them.
 TIMES, SPARE = 4, 100_000
 
 
@@ -75,11 +79,21 @@ def _prefix(n: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, text_hash, node, n, parts) for each document, and a row (bucket, count) for each bucket and task."""
+    """A row (doc_id, text_hash, node, n, parts, bitmap) for each document, (bucket, count) for each bucket and task, and
+    (shingle, count) for each shingle that a run of about CHUNK shingles holds more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = {}, np.zeros(1 << BITS, np.int64)
-        names = ["doc_id", "text_hash", "node", "n", "parts", *BITMAP, "bucket", "count"]
+        names = ["doc_id", "text_hash", "node", "n", "parts", *BITMAP, "bucket", "shingle", "count"]
+        held: list[np.ndarray] = []
+        none = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *([pa.int64()] * len(BITMAP)))
+
+        def often() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()
+            found, count = found[count > 1], count[count > 1]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in none), pa.nulls(len(found), pa.int32()), pa.array(found.view(np.int64)), pa.array(count)], names)
+
         for batch in batches:
             for row, data, starts in _text.pieces(batch.column("text")):
                 rows = len(starts) - 1
@@ -92,26 +106,36 @@ def _marks(docs: DataFrame) -> DataFrame:
                 bitmap = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 packed = [p.astype(np.uint16).tobytes() if p.max() < 65536 else p.tobytes() for p in parts]
                 columns = [batch.column("doc_id").slice(row, rows), batch.column("text_hash").slice(row, rows), pa.array(_nodes(h, at), mask=n == 0), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary()), *(pa.array(bitmap[:, i].copy()) for i in range(len(BITMAP)))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+                held.append(h)
+                if sum(map(len, held)) >= CHUNK:
+                    yield often()
+        yield often()
         some = np.flatnonzero(total)
-        empty = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *([pa.int64()] * len(BITMAP)))]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(some.astype(np.int32)), pa.array(total[some])], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in none), pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.array(total[some])], names)
 
-    return docs.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, parts binary, {', '.join(f'{b} long' for b in BITMAP)}, bucket int, count long")
+    return docs.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, parts binary, {', '.join(f'{b} long' for b in BITMAP)}, bucket int, shingle long, count long")
 
 
-def _entries(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(token, node, n, at): each prefix shingle of each document, and its place in the order."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def _entries(docs: DataFrame, rank: np.ndarray, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(token, node, n, at): each prefix shingle of each document, and its place in the order.
+
+    rank has the buckets' counts; common the sorted hashes of frequent shingles, times their counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((rank, common, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, order = {}, shared.value
+        cache, (order, known, count) = {}, shared.value
         for batch in batches:
             for _, data, starts in _text.pieces(batch.column("text")):
                 h, r = shingles(data, starts, cache)
                 at = _text.bounds(r, len(starts) - 1)
                 n, node = np.diff(at), _nodes(h, at)
-                ranked = np.lexsort((h, order[(h >> np.uint64(64 - BITS)).astype(np.int64)], r))
+                own = np.zeros(len(h), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    own = np.where(known[place] == h, count[place], 0)
+                ranked = np.lexsort((h, order[(h >> np.uint64(64 - BITS)).astype(np.int64)], own, r))
                 place = np.arange(len(h)) - at[r]
                 first = place < _prefix(n)[r]
                 owner = r[first]
@@ -150,11 +174,15 @@ class Join:
         counts = marks.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # at most 2**BITS rows
         rank = np.zeros(1 << BITS, np.int64)
         rank[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
-        marks = marks.filter("bucket is null")
+        often = marks.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count"))
+        often = often.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+        common, times = often["shingle"].to_numpy().view(np.uint64), often["count"].to_numpy()
+        order = np.argsort(common)
+        marks = marks.filter("bucket is null and shingle is null")
         self.marks = marks.select("doc_id", "text_hash", "node", "n")
         nodes = marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parts").alias("parts"), *(F.max(b).alias(b) for b in BITMAP))
         self.nodes = self.space.keep("nodes", nodes)
-        entries = _entries(self.docs, rank)
+        entries = _entries(self.docs, rank, common[order], times[order])
         tokens = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
         tokens = self.space.keep("tokens", tokens)
         # Two rows are the two nodes; more rows may be copies, and meet by the shingle.
@@ -263,7 +291,7 @@ class Join:
         twos = self._near(self.twos.distinct(), "x", "y").select("x", "y")
         met = self.to_hubs(self.shared.select("node", F.explode(F.array("lo", "hi")).alias("hub")))
         tried = self.space.keep("tried0", self.pairs(twos.union(met)))
-        entries, last = self.shared.drop("lo", "hi"), False
+        entries, last, before = self.shared.drop("lo", "hi"), False, float("inf")
         links = self.verify(tried)
         while True:
             roots = components(links, self.space, f"roots{self.rounds}")
@@ -280,7 +308,8 @@ class Join:
             # Shingles whose nodes are all of one class are done with.
             entries = self.space.keep(f"open{self.rounds}", entries.join(split.select("token"), "token", "left_semi"))
             named = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            last = left <= TIMES * size + SPARE or self.rounds > len(SEEDS)
+            last = left <= TIMES * size + SPARE or left > before / 2 or self.rounds > len(SEEDS)
+            before = left
             if last:
                 new = self.between(named, split.select("token", "major"))
             else:
