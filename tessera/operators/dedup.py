@@ -73,6 +73,13 @@ def components(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
             return labels.select(F.col("v").alias(key), F.col("label").alias("component"))
 
 
+def stars(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(a, b): each key with the least key that has a value in common. Enough for components, and linear in the rows."""
+    rows = rows.select(F.col(key).alias("b"), F.col(value).alias("f")).distinct()
+    least = rows.groupBy("f").agg(F.min("b").alias("a"))
+    return rows.join(least, "f").filter("a <> b").select("a", "b").distinct()
+
+
 def shared_files(pulls: DataFrame, key: str = "number", files: str = "files") -> DataFrame:
     """(a, b): pairs that touch a file in common."""
     rows = pulls.select(F.col(key).alias("k"), F.explode(files).alias("f")).distinct()

@@ -238,7 +238,7 @@ def n9_first_seen(t):
 @query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 3), (4, 1), (5, 3), (6, 6)) AS t(number, component)")
 def g1_overlap_groups(t):
     pulls = _pulls(t)
-    return D.components(pulls, D.shared_files(pulls), "number")
+    return D.components(pulls, D.stars(pulls.select("number", F.explode("files").alias("file")), "number", "file"), "number")
 
 
 @query("SELECT * FROM (VALUES (1, 2)) AS t(a, b)")
