@@ -17,15 +17,15 @@ from tessera.plans.registry import query
 c = F.col
 
 
-@query("""SELECT a.turn AS a, b.turn AS b, len(list_intersect(a.w, b.w)) AS shared, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard
-FROM (SELECT turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations WHERE conv_id = 1) a,
-(SELECT turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations WHERE conv_id = 1) b WHERE a.turn < b.turn""")
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations)
+SELECT a.conv_id, a.turn AS a, b.turn AS b, len(list_intersect(a.w, b.w)) AS shared, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard
+FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def e4_set_overlap(t):
-    """Word sets of one conversation's turns, each pair once."""
-    rows = t.conversations.filter("conv_id = 1").select("turn", T.plain_words(c("text")).alias("w"))
-    a, b = rows.toDF("a", "x"), rows.toDF("b", "y")
-    both = a.join(b, c("a") < c("b"))
-    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.round(T.jaccard(c("x"), c("y")), 6).alias("jaccard"))
+    """Word sets of each turn and the next."""
+    rows = t.conversations.select("conv_id", "turn", T.plain_words(c("text")).alias("w"))
+    a, b = rows.toDF("conv_id", "a", "x"), rows.toDF("conv_id", "b", "y").withColumn("a", c("b") - 1)
+    both = a.join(b, ["conv_id", "a"])
+    return both.select("conv_id", "a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.round(T.jaccard(c("x"), c("y")), 6).alias("jaccard"))
 
 
 @query("SELECT * FROM (VALUES ('book a meeting', 'base,calendar'), ('send the invoice', 'base,mail'), ('hello', 'base')) AS t(q, tools)")

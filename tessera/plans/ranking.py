@@ -118,10 +118,10 @@ def r9_vector_search(t):
 @query()
 def r6_hybrid_vector(t):
     """Chunks with a vector in two lanes: vectors and texts meet on their numbers."""
-    text = t.documents.select(c("doc_id").alias("vec_id"), F.substring("text", 1, 400).alias("document"))
-    rows = t.embeddings.join(text, "vec_id").select(c("vec_id").alias("id"), "document", "embedding")
+    text = t.documents.select(c("doc_id").alias("vec_id"), c("text").alias("document"))
+    rows = t.embeddings.join(text, "vec_id").select(c("vec_id").alias("id"), "document", "embedding", "label")
     probe = [float(x) for x in t.embeddings.filter("vec_id = 3").first().embedding]
-    lanes = [rows.filter("id % 2 = 0 or id < 20"), rows.filter("id % 2 = 1")]
+    lanes = [rows.filter("label <= 5"), rows.filter("label >= 5")]
     return S.hybrid_vector(lanes, probe, "the and of", 5).select("id", "score", "lane")
 
 
@@ -138,12 +138,12 @@ def r8_lane_merge(t):
     return R.keep_one(t.inline(_LANES), ["id"], [F.desc("score"), "lane"]).select("id", "lane")
 
 
-@query("""SELECT a.vec_id, max(list_cosine_similarity(a.embedding, b.embedding)) >= 0.92 AS duplicate FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id >= 10 GROUP BY a.vec_id""")
+@query("SELECT a.vec_id, max(list_cosine_similarity(a.embedding, b.embedding)) >= 0.92 AS duplicate FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id")
 def r10_nearest_duplicate(t):
-    """A few new vectors against all old ones: the new ones are the query set, of a stated size."""
-    new = F.broadcast(t.embeddings.filter("vec_id < 10").select("vec_id", c("embedding").alias("v")))
-    rows = t.embeddings.filter("vec_id >= 10").select("embedding").crossJoin(new)
-    return rows.groupBy("vec_id").agg((F.max(T.cosine(c("embedding"), c("v"))) >= 0.92).alias("duplicate"))
+    """Every fiftieth vector is asked for against all others; the questions are sent to the rows, a block at a time."""
+    asked = t.embeddings.filter("vec_id % 50 = 0").select(c("vec_id").alias("asked"), c("embedding").alias("v"))
+    pairs = t.embeddings.join(asked, c("vec_id") != c("asked"))
+    return pairs.groupBy(c("asked").alias("vec_id")).agg((F.max(T.cosine(c("embedding"), c("v"))) >= 0.92).alias("duplicate"))
 
 
 @query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9_-]+)', 1), lambda w: w IN ('license', 'software', 'under', 'open')))) AS score FROM documents
@@ -186,12 +186,12 @@ def n2_normalised_duplicates(t):
     return t.inline(X.MEMORIES).select("id", (F.row_number().over(w) > 1).alias("duplicate"))
 
 
-@query(r"""WITH s AS (SELECT conv_id * 100 + turn AS k, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM conversations WHERE length(text) < 400)
-SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS similarity
-FROM s a JOIN s b ON a.k < b.k AND len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w))) AND len(a.w) > 0 AND len(b.w) > 0""")
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS word FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= 0.6 * (x.n + y.n - c)""")
 def n3_fuzzy_duplicates(t):
-    rows = t.conversations.filter(F.length("text") < 400).withColumn("k", c("conv_id") * 100 + c("turn"))
-    return D.similar(rows, "k", T.plain_words(c("text")), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.similar(t.documents, "doc_id", T.plain_words(c("text")), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -224,10 +224,10 @@ def n7_calendar_duplicates(t):
     return rows.join(first, "uid", "left_anti").select("uid")
 
 
-@query("SELECT count(*) AS added FROM (SELECT DISTINCT text FROM documents WHERE doc_id >= 500 AND text NOT IN (SELECT text FROM documents WHERE doc_id < 500))")
+@query("SELECT count(*) AS added FROM (SELECT DISTINCT text FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0'))")
 def n8_insert_if_absent(t):
     rows = t.documents.withColumn("id", T.content_id(c("text")))
-    return D.insert_if_absent(rows.filter("doc_id < 500"), rows.filter("doc_id >= 500"), "id", ["doc_id"]).agg(F.count(F.lit(1)).alias("added"))
+    return D.insert_if_absent(rows.filter("source = 'src0'"), rows.filter("source <> 'src0'"), "id", ["doc_id"]).agg(F.count(F.lit(1)).alias("added"))
 
 
 @query("SELECT user_id, min(event_id) AS first_event FROM events GROUP BY user_id")

@@ -506,9 +506,11 @@ def e3_union_distinct(t):
     return t.customer.select(c("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_id >= 500 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id < 100)")
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01')")
 def e5_new_keys(t):
-    return t.events.filter("event_id >= 500").select("user_id").distinct().join(t.events.filter("event_id < 100").select("user_id").distinct(), "user_id", "left_anti")
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    seen = t.orders.filter(c("o_orderdate") < day("1993-01-01")).select("o_custkey").distinct()
+    return t.orders.filter(c("o_orderdate") >= day("1998-01-01")).select("o_custkey").distinct().join(seen, "o_custkey", "left_anti")
 
 
 @query(f"SELECT * FROM (VALUES ('s1', true, false), ('s5', false, true), ('s8', true, true)) AS t(id, shared_alice, legacy_null) WHERE id = 'zz' UNION ALL SELECT id, owner = 'alice' OR owner IS NULL, owner IS NULL FROM ({X.SESSIONS})")

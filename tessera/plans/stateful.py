@@ -22,15 +22,17 @@ def u1_fire_counts(t):
     return rows.filter("fired > 0")
 
 
-@query("SELECT event_id AS k FROM events WHERE event_id >= 900 AND event_id < 1000 ORDER BY event_id LIMIT 50")
+@query("SELECT event_id AS k FROM events WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY event_id LIMIT 50")
 def u2_unseen(t):
-    keys = t.events.select(c("event_id").alias("k"))
-    return S.unseen(keys.filter("k >= 800 and k < 1000"), keys.filter("k < 900"), "k", "k")
+    """The second batch overlaps the first; at most 50 keys fire."""
+    keys = t.events.select(c("event_id").alias("k"), "ts")
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    return S.unseen(keys.filter(c("ts") >= day("2024-01-15")), keys.filter(c("ts") < day("2024-01-20")), "k", "k").select("k")
 
 
-@query("SELECT count(*) AS fresh FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id < 5000)")
+@query("SELECT count(*) AS fresh FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20')")
 def u3_watermark(t):
-    last = t.events.filter("event_id < 5000").agg(F.max("ts").alias("mark"))
+    last = t.events.filter(c("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).agg(F.max("ts").alias("mark"))
     return t.events.join(F.broadcast(last), c("ts") > c("mark")).agg(F.count(F.lit(1)).alias("fresh"))  # last is one row
 
 

@@ -153,9 +153,9 @@ def f12_statistics(t):
     return rows.select("id", F.array_join(T.statistics(c("text")), "|").alias("found"))
 
 
-@query(r"SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g'))) AS key FROM documents")
+@query(r"SELECT doc_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS key FROM documents")
 def f13_title_key(t):
-    return t.documents.select("doc_id", T.title_key(F.substring("text", 1, 80)).alias("key"))
+    return t.documents.select("doc_id", T.title_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
 @query(r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS fingerprint FROM documents")
