@@ -11,9 +11,9 @@ places of the shared shingle) and the suffix filter (the hash space is cut into
 the smaller counts of each range bounds the overlap; before that, a node's bitmap of odd counts in SKETCH ranges does: two
 bitmaps differ in no more bits than the sets in shingles). The rest are verified once on the whole sets.
 
-all_links() verifies every candidate. near_duplicates() needs only the classes: the two nodes of a shingle that has no
-more meet at once, the nodes of another meet that shingle's hubs first (its least and its greatest node), the classes
-found so far are contracted, and then only candidates between different classes are left; all of those are verified too. No link between two classes is lost, and a large group of near
+all_links() verifies every candidate. near_duplicates() needs only the classes: the nodes of a shingle that stands in at
+most GROUP rows meet at once, the nodes of another meet that shingle's hubs first, the classes found so far are
+contracted, and then only candidates between different classes are left; all of those are verified too. No link between two classes is lost, and a large group of near
 copies costs a multiple of its size instead of its square.
 
 A null or empty text, or one without words, has an empty set and links with nothing. A text of fewer than GRAM
@@ -37,11 +37,16 @@ CHUNK, COMMON = 1 << 21, 1 << 17
 BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
 #: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Orders in which a shingle's least node is its hub in later rounds, and hubs that a node is compared with in a round.
-SEEDS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85)
+#: Rows of a shingle up to which all its pairs are made within one row.
+GROUP = 32
+#: A round's orders, in each of which a shingle's least node is a hub; and the hubs that a node is verified with.
+SEEDS = (
+    (0, 0x7FFFFFFFFFFFFFFF, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D), (0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82B),
+    (0x0F1BBCDCBFA53E0B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1), (0x6A09E667F3BCC908, 0x4528E638D01377BE, 0x38D01377BE5466CF, 0x082EFA98EC4E6C89),
+)
 BEST = 3
-#: Hub rounds go on while the candidates between classes outnumber the shared prefix entries this many times, and SPARE,
-#: and a round halves them.
+#: After the second, hub rounds go on while the candidates between classes outnumber the entries this many times, and
+#: SPARE, and a round takes off a fifth of them.
 TIMES, SPARE = 4, 100_000
 
 
@@ -164,6 +169,15 @@ def _may_differ(n: Column, m: Column) -> Column:
     return n + m - 2 * _overlap(n, m)
 
 
+def _may_link(x: Column, y: Column) -> Column:
+    """The length and the positional filter for two entries (node, n, at) of one shingle.
+
+    The shingle and what follows it in either set may be shared; of those before it, as many as in the shorter run.
+    """
+    n, m = x["n"], y["n"]
+    return _close(n, m) & (F.least(n - x["at"], m - y["at"]) + F.least(x["at"], y["at"]) >= _overlap(n, m))
+
+
 class Join:
     """One run of the join; its tables are in a workspace of its own."""
 
@@ -185,9 +199,12 @@ class Join:
         entries = _entries(self.docs, rank, common[order], times[order])
         tokens = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
         tokens = self.space.keep("tokens", tokens)
-        # Two rows are the two nodes; more rows may be copies, and meet by the shingle.
-        self.twos = tokens.filter("rows = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-        shared = entries.join(tokens.filter("rows > 2").select("token", "lo", "hi"), "token").distinct()
+        # A shingle of few rows becomes one row, whose pairs are made there; its rows are on one partition for the join anyway.
+        few = entries.join(tokens.filter(F.col("rows") <= GROUP).select("token"), "token")
+        few = few.groupBy("token").agg(F.collect_set(F.struct("node", "n", "at")).alias("all"))
+        few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & _may_link(F.col("x"), y))).alias("y"))
+        self.few = self.space.keep("few", few.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
+        shared = entries.join(tokens.filter(F.col("rows") > GROUP).select("token"), "token").distinct()
         self.shared = self.space.keep("shared", shared)
         self.rounds = 0
 
@@ -225,10 +242,8 @@ class Join:
         if major is not None:
             left = entries.join(major, "token").filter("label <> major")
             rule = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("major")) | (F.col("node") < F.col("_node")))
-        n, m = F.col("n"), F.col("_n")
-        # The shared shingle and what follows it in either set; those before it, at most as many as in the shorter run, may be shared too.
-        most = F.least(n - F.col("at"), m - F.col("_at")) + F.least("at", "_at")
-        fits = _close(n, m) & (most >= _overlap(n, m)) & (_differ("", "_") <= _may_differ(n, m))
+        x, y = F.struct("n", "at"), F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"))
+        fits = _may_link(x, y) & (_differ("", "_") <= _may_differ(F.col("n"), F.col("_n")))
         return left.join(right, "token").filter(rule & fits).select(F.col("node").alias("x"), F.col("_node").alias("y"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -282,40 +297,39 @@ class Join:
 
     def all_links(self) -> DataFrame:
         """Every link (a, b) between different sets."""
-        pairs = self.between(self.shared.drop("lo", "hi")).union(self._near(self.twos.distinct(), "x", "y").select("x", "y"))
+        pairs = self.between(self.shared).union(self._near(self.few, "x", "y").select("x", "y"))
         return self.verify(self.space.keep("pairs", self.pairs(pairs)))
 
+    def hubs(self, entries: DataFrame, seeds: tuple) -> DataFrame:
+        """(token, hub): a shingle's least node in each order."""
+        least = (F.min(F.col("node").bitwiseXOR(F.lit(s).cast("long"))).bitwiseXOR(F.lit(s).cast("long")) for s in seeds)
+        return entries.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("h")).select("token", F.explode("h").alias("hub"))
+
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(node, root) of the nodes that link with another, and the links that were verified."""
-        size = self.shared.count()
-        twos = self._near(self.twos.distinct(), "x", "y").select("x", "y")
-        met = self.to_hubs(self.shared.select("node", F.explode(F.array("lo", "hi")).alias("hub")))
-        tried = self.space.keep("tried0", self.pairs(twos.union(met)))
-        entries, last, before = self.shared.drop("lo", "hi"), False, float("inf")
+        size, entries, last, before = self.shared.count(), self.shared, False, float("inf")
+        met = self.to_hubs(entries.join(self.hubs(entries, SEEDS[0]), "token").select("node", "hub"))
+        tried = self.space.keep("tried0", self.pairs(self._near(self.few, "x", "y").select("x", "y").union(met)))
         links = self.verify(tried)
         while True:
             roots = components(links, self.space, f"roots{self.rounds}")
             roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
-            if last:
+            if last or not size:
                 return roots, links
             named = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
             each = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_c"))
-            split = each.groupBy("token").agg(F.max(F.struct("_c", "label"))["label"].alias("major"), F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_own"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-            split = self.space.keep(f"split{self.rounds}", split.filter("_lo <> _hi").select("token", "major", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("left")))
+            split = each.groupBy("token").agg(F.max(F.struct("_c", "label"))["label"].alias("major"), F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_own"))
+            split = self.space.keep(f"split{self.rounds}", split.select("token", "major", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("left")).filter("left > 0"))
             left = split.agg(F.sum("left")).first()[0] or 0
             if not left:
                 return roots, links
-            # Shingles whose nodes are all of one class are done with.
-            entries = self.space.keep(f"open{self.rounds}", entries.join(split.select("token"), "token", "left_semi"))
-            named = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            last = left <= TIMES * size + SPARE or left > before / 2 or self.rounds > len(SEEDS)
+            named = named.join(split.select("token"), "token", "left_semi")
+            last = self.rounds >= len(SEEDS) or self.rounds > 1 and (left <= TIMES * size + SPARE or left > 0.8 * before)
             before = left
             if last:
                 new = self.between(named, split.select("token", "major"))
             else:
-                seed = SEEDS[self.rounds - 1]
-                hubs = entries.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(F.lit(seed))).bitwiseXOR(F.lit(seed)).alias("hub"))
-                met = named.join(hubs, "token").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("_root")), "hub", "left")
+                met = named.join(self.hubs(named, SEEDS[self.rounds]), "token").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("_root")), "hub", "left")
                 new = self.to_hubs(met.filter(F.col("label") != F.coalesce("_root", "hub")).select("node", "hub"))
             new = self.pairs(new).join(tried, ["a", "b"], "left_anti")
             new = self.space.keep(f"tried{self.rounds}", new)

@@ -419,6 +419,7 @@ def test_near_duplicates(spark, monkeypatch, times):
     monkeypatch.setattr(jaccard, "TIMES", times)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10 * times)
     monkeypatch.setattr(jaccard, "SPARE", 100_000 * times)
+    monkeypatch.setattr(jaccard, "GROUP", 8 * times + 2)
     rows = near_copies()
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("mine")))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == plain_classes(rows)
