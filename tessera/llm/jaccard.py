@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._stage import Workspace
 
-GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 256
+GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 1024
 CHUNK, COMMON = 1 << 21, 1 << 17
 BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
 #: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
@@ -199,12 +199,13 @@ class Join:
         entries = _entries(self.docs, rank, common[order], times[order])
         tokens = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
         tokens = self.space.keep("tokens", tokens)
-        # A shingle of few rows becomes one row, whose pairs are made there; its rows are on one partition for the join anyway.
-        few = entries.join(tokens.filter(F.col("rows") <= GROUP).select("token"), "token")
+        # A shingle of few rows becomes one row, whose pairs are made there.
+        prefix = self.space.keep("prefix", entries.join(tokens.select("token", "rows"), "token"))
+        few = prefix.filter(F.col("rows") <= GROUP)
         few = few.groupBy("token").agg(F.collect_set(F.struct("node", "n", "at")).alias("all"))
         few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & _may_link(F.col("x"), y))).alias("y"))
         self.few = self.space.keep("few", few.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
-        shared = entries.join(tokens.filter(F.col("rows") > GROUP).select("token"), "token").distinct()
+        shared = prefix.filter(F.col("rows") > GROUP).drop("rows").distinct()
         self.shared = self.space.keep("shared", shared)
         self.rounds = 0
 
