@@ -20,6 +20,8 @@ from . import _text
 BITS = 16
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Trusted ids up to so many are broadcast; beyond, their join shuffles.
+BROADCAST_ROWS = 500_000
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -112,11 +114,11 @@ def ratios(docs: DataFrame, prior: float = 20_000.0) -> np.ndarray:
     return np.log((target + prior * p) / (target.sum() + prior)) - np.log(p)
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """docs with the column trusted: labelled good, and among the first so many such ids by their hash."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
-    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with the column trusted, true for every row whose id is labelled good."""
+    good = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    return docs.select("doc_id", "text").join(good, "doc_id", "left")
 
 
 def judge(docs: DataFrame, llr: np.ndarray, threshold: float) -> DataFrame:

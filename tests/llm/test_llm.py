@@ -209,6 +209,15 @@ def test_rules_ratio(spark):
     assert (rules.ratios(docs.limit(0)) == 0).all()
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_rules_trust_every_good_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", broadcast, raising=False)
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 6 != 0).cast("int").alias("quality"))
+    out = rules.trusted_rows(ids.withColumn("text", F.lit("one two")), labels.union(labels))
+    assert out.count() == 30_000 and out.filter("trusted").count() == 25_000 and out.filter("trusted and doc_id % 6 = 0").count() == 0
+
+
 # 5
 
 
