@@ -359,8 +359,9 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (the least doc_id reachable by links), n_links; a row for each row.
+    """doc_id, text_hash, n_shingles, component_id (the least doc_id reachable by links), n_links, root; a row for each row.
 
+    root is the class's least node, the same for all rows of a class whatever their ids, and null for an empty set.
     n_links counts the verified links of the document's set; links inside a class already known are not all verified.
     """
     join = Join(docs)
@@ -368,10 +369,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = join.nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = join.space.keep("named", named.join(least, "root").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = join.space.keep("named", named.join(least, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = join.marks.join(named, "node", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "root")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "root")

@@ -6,6 +6,8 @@ Pieces are dealt by hash into shards of about SHARD items, which are packed inde
 keeps its open bins ordered by residual, each with a bitmap of sources and one of clusters (hashed to BITMAP bits:
 a collision only looks like a conflict). The search begins at the first residual that fits and goes on to the next
 larger ones until the bitmaps allow a bin, so the tightest compatible bin is found; without one, a new bin opens.
+
+A cluster is a class of near duplicates where pack() is given classes, and else the documents of equal words.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
+from ._stage import Workspace
+
 CAPACITY, SHARD, BITMAP = 2048, 8192, 256
 _WORDS = BITMAP // 64
 
@@ -71,28 +76,45 @@ class Bins:
         return bin_id, offset
 
 
-def items(docs: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, n_words, length, source_bit, cluster_bit, cluster, _spread) of each document.
+def folded(text: Column) -> Column:
+    """The text whose words are compared."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(text_hash, root): the class of near duplicates of each folded text that has words."""
+    found = jaccard.near_duplicates(docs.select("doc_id", folded(F.col("text")).alias("text")))
+    return found.filter("root is not null").groupBy("text_hash").agg(F.min("root").alias("root"))
+
+
+def items(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, length, source_bit, cluster_bit, cluster, _spread) of each document.
 
-    A cluster is the documents of equal words, case of A-Z aside. A null source is a source of its own.
+    A cluster is a class (text_hash, root) of folded texts; without one, the documents of equal folded words. A null
+    source is a source of its own.
     """
-    named = docs.select("doc_id", "source", words(F.lower("text")).alias("_words"), F.xxhash64("doc_id", "text").alias("_spread"))
-    cluster = F.xxhash64("_words")
-    return named.select(
-        "doc_id", "_spread", (F.size("_words") + 1).cast("long").alias("length"), cluster.alias("cluster"),
+    text = folded(F.col("text"))
+    named = docs.select("doc_id", "source", words(text).alias("_words"), F.xxhash64("doc_id", "text").alias("_spread"), F.xxhash64(text).alias("_hash"))
+    cut = named.select(
+        "doc_id", "_spread", "_hash", (F.size("_words") + 1).cast("long").alias("length"), F.xxhash64("_words").alias("cluster"),
         F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(BITMAP)).cast("int").alias("source_bit"),
-        F.pmod(F.xxhash64(cluster), F.lit(BITMAP)).cast("int").alias("cluster_bit"),
     )
+    if classes is not None:
+        known = classes.select(F.col("text_hash").alias("_hash"), "root")
+        known = F.broadcast(known) if known.count() <= jaccard.BROADCAST_ROWS else known
+        cut = cut.join(known, "_hash", "left").withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
+    return cut.drop("_hash").withColumn("cluster_bit", F.pmod(F.xxhash64("cluster"), F.lit(BITMAP)).cast("int"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, classes: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, begin, length, bin_id, bin_offset): every piece of every document, once.
 
     begin is the piece's first word in the document. Rows of equal id are packed as documents of their own; two of
-    them with equal texts are copies, and so never share a bin.
+    them with equal texts are copies, and so never share a bin. With classes, as near_classes() makes them, no two
+    near copies do.
     """
     shards = max(1, math.ceil(docs.count() / shard))
-    sized = items(docs, capacity).withColumn("full", F.floor((F.col("length") - 1) / capacity).cast("long"))
+    sized = items(docs, classes).withColumn("full", F.floor((F.col("length") - 1) / capacity).cast("long"))
     last = sized.withColumn("size", F.col("length") - F.col("full") * capacity).withColumn("shard", F.pmod("_spread", F.lit(shards)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,4 +136,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
 
 
 def op9_best_fit(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(docs, classes=Workspace(spark, "packing").keep("classes", near_classes(docs)))

@@ -387,6 +387,22 @@ def test_packing_odd(spark):
     assert sum(r.doc_id == 5 for r in out) == 61 and packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_packing_keeps_near_copies_apart(spark, monkeypatch, tmp_path, broadcast):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"other{k}"] + base[k + 1 :]) for k in (0, 59)] + [" ".join(base), " ".join(base).upper()]
+    rows = [(i, texts[i % 4], "en", f"s{i}", 1) for i in range(8)] + [(8 + i, " ".join(f"x{i}y{j}" for j in range(20)), "en", f"t{i}", 1) for i in range(8)]
+    rows += [(16, None, "en", "u", 0), (17, "", "en", "v", 0), (None, texts[0], "en", "w", 1), (None, texts[1], "en", "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op9_best_fit(spark, str(tmp_path)).collect()
+    near = {0, 1, 2, 3, 4, 5, 6, 7, None}
+    held = [r.bin_id for r in out if r.doc_id in near]
+    assert len(out) == len(rows) and len(held) == len(set(held)) == 10
+    assert len({r.bin_id for r in out if r.doc_id in (16, 17)}) == 2
+
+
 # 10
 
 
