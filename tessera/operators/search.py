@@ -161,6 +161,19 @@ def nearest(df: DataFrame, vector: str, probe: list[float], k: int, key: str) ->
     return df.withColumn("similarity", T.cosine(F.col(vector), F.lit(probe))).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def vector_first(chunks: DataFrame, docs: DataFrame, probe: list[float], words: list[str], k: int, least: float) -> DataFrame:
+    """(doc_id, source): the k chunks (vec_id, embedding) nearest to the probe, of at least this cosine.
+
+    Where there is none, the k documents (doc_id, text) that hold most of the words, ties by id.
+    """
+    near = nearest(chunks, "embedding", probe, k, "vec_id").filter(F.col("similarity") >= least)
+    near = near.select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("source"), F.lit(0).alias("part"))
+    held = docs.select("doc_id", F.size(F.array_intersect(T.document_words(F.col("text")), F.lit(words))).alias("score"))
+    held = held.filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(k).select("doc_id", F.lit("words").alias("source"), F.lit(1).alias("part"))
+    both = near.union(held)
+    return both.join(F.broadcast(both.agg(F.min("part").alias("part"))), "part").select("doc_id", "source")  # the minimum is one row
+
+
 def hybrid_vector(lanes: list[DataFrame], probe: list[float], query: str, k: int, owned: bool = False, vector="embedding", text="document", key="id") -> DataFrame:
     """Two stages: each lane's nearest rows, then 0.7 cosine and 0.3 word share, rounded to 4 places; each key once."""
     words = sorted(set(query.lower().split()))

@@ -53,11 +53,8 @@ def r11_recall_with_fallback(t):
 
 @query("SELECT doc_id, 'words' AS source FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_-])license([^a-z0-9_-]|$)') ORDER BY doc_id LIMIT 5")
 def r13_vector_first(t):
-    """No chunk is near enough, so words decide."""
-    near = t.embeddings.filter("vec_id < 0").select(c("vec_id").alias("doc_id"), F.lit("vector").alias("source"), F.lit(0).alias("part"))
-    words = t.documents.filter(F.array_contains(T.document_words(c("text")), "license")).select("doc_id", F.lit("words").alias("source"), F.lit(1).alias("part")).orderBy("doc_id").limit(5)
-    both = near.union(words)
-    return both.join(F.broadcast(both.agg(F.min("part").alias("part"))), "part").select("doc_id", "source")  # the minimum is one row
+    """All chunks against a probe of unit length; none has a cosine of 0.6, so words decide."""
+    return S.vector_first(t.embeddings, t.documents, [0.125] * 64, ["license"], 5, 0.6)
 
 
 @query("SELECT * FROM (VALUES ('foo AND \"bar baz\" (x)', 'foo AND \"bar baz\" x'), ('a.b c_d -', '\"a.b\" \"c_d\"'), ('***', NULL)) AS t(q, safe)")

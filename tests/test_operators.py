@@ -173,3 +173,27 @@ def test_next_run_past_the_end_of_a_month():
     assert extract.next_run("monthly", "07:00", 31, datetime(2024, 2, 1)) == datetime(2024, 2, 29, 7)
     assert extract.next_run("monthly", "07:00", 31, datetime(2024, 1, 31, 8)) == datetime(2024, 2, 29, 7)
     assert extract.next_run("daily", "9am", None, datetime(2024, 1, 1)) is None
+
+
+def test_vector_first(spark):
+    """Both branches against plain Python, and the query's own vectors at another threshold."""
+    import random
+
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    vectors = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in vectors]
+    chunks = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    docs = spark.createDataFrame([(1, "open"), (2, "open license"), (3, "none"), (4, "license open software"), (5, "a license"), (6, None)], "doc_id long, text string")
+    ask = lambda probe, least, k=3: {(r.doc_id, r.source) for r in search.vector_first(chunks, docs, probe, ["license", "open", "software"], k, least).collect()}
+    cosine = sorted(((sum(x * y for x, y in zip(v, vectors[7], strict=True)), -i) for i, v in enumerate(vectors)), reverse=True)
+    for least in (0.0, 0.5, 0.99):
+        assert ask(vectors[7], least) == {(-i, "vector") for s, i in cosine[:3] if s >= least}
+    assert ask([-x for x in vectors[7]], 1.01) == {(4, "words"), (2, "words"), (1, "words")}
+
+
+def test_vector_first_reads_the_vectors(spark, tmp_path):
+    from tessera.plans import registry
+
+    spark.createDataFrame([(1, "license"), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [-0.125] * 64), (2, [0.125] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in registry.queries()["r13_vector_first"](spark, str(tmp_path)).collect()] == [(2, "vector")]
