@@ -1,6 +1,7 @@
 """Secret scans: three fixed patterns, then candidates in a sensitive context by zstandard novelty.
 
-A candidate is a run of key characters a little after a sensitive word. The text around it is compressed with
+A candidate is a run of key characters that begins at most AROUND characters after a sensitive word, on whatever
+line and whatever stands between; each one is measured. The text around it is compressed with
 and without it, primed with that text's own identifiers and a dictionary of common ones; what the candidate
 adds, in bytes for each of its characters, is its novelty. Words and repeated names add little, keys add most of
 their entropy. Candidates that overlap a pattern's span are left to that pattern.
@@ -8,6 +9,7 @@ their entropy. Candidates that overlap a pattern's span are left to that pattern
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +23,8 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"(?:secret|token|passw|api.?key|access.?key|private.?key|credential|bearer|authorization|signature)[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.I | re.A)
+SENSITIVE = re.compile(r"secret|token|passw|api.?key|access.?key|private.?key|credential|bearer|authorization|signature", re.I | re.A)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _HINT = re.compile(r"passw|secret|token|api|AKIA|key|credential|bearer|authorization|signature", re.I | re.A)
 IDENTIFIERS = (
     "authorization authenticate access_token refresh_token client_secret client_id api_key private_key public_key "
@@ -31,7 +34,7 @@ IDENTIFIERS = (
     "function return import export default const static public class string integer boolean undefined null true false "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 AAAAAAAAAAAAAAAA xxxxxxxxxxxxxxxx 0000000000000000"
 )
-#: Reach of the surrounding text on either side, and least added bytes for each character.
+#: Reach of the surrounding text on either side, and of a sensitive word, and least added bytes for each character.
 AROUND, LEAST = 400, 0.6
 
 
@@ -56,9 +59,13 @@ def novelty(text: str, start: int, end: int, compressor: zstandard.ZstdCompresso
 def novel_spans(text: str, base: list[tuple[int, int, int]], compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     if not _HINT.search(text):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
+    found, ends = [], [m.end() for m in SENSITIVE.finditer(text)]
+    if not ends:
+        return []
+    for m in CANDIDATE.finditer(text, ends[0]):
+        a, b = m.span()
+        if a - ends[bisect.bisect_right(ends, a) - 1] > AROUND:
+            continue
         if not any(s < b and a < e for s, _, e in base) and novelty(text, a, b, compressor) >= LEAST:
             found.append((a, 3, b))
     return found

@@ -280,6 +280,15 @@ def test_secrets(spark):
     assert out[6].n_novel == 1 and "novel:26:74" in out[6].spans and out[7].n_novel == 0 and out[8].n_assign == 0
 
 
+def test_secrets_behind_decoys_and_line_breaks(spark):
+    key = "kJ8s0dPq2LmZx7Vt4RbW1nYc"
+    texts = [f"token production-database-url value {key}", f'"secret":\n  "{key}"', f"credential {'word ' * 30}{key} and {key[::-1]}", f"token {'word ' * 100}{key}"]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(out[:3], texts, strict=False):
+        assert {f"novel:{t.index(k)}:{t.index(k) + len(k)}" for k in (key, key[::-1]) if k in t} <= set(r.spans.split(","))
+    assert out[3].spans == ""
+
+
 def test_secret_base_is_the_plain_patterns(texts):
     for t in list(texts.values())[:200]:
         plain = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
