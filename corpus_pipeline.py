@@ -29,13 +29,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of least id; of repeated rows one."""
+    """Keeps of each group of linked documents one row, of the least id; of rows without words all."""
     found = jaccard.near_duplicates(docs)
     space = Workspace(spark, "copies")
     key = ["doc_id", "text_hash"]
-    judged = found.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    judged = judged.withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    judged = space.keep("judged", judged.filter("gone or (rows > 1 and n_shingles > 0)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone"))
+    judged = found.filter("n_shingles > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("root"), F.min("component_id").alias("component_id"))
+    judged = space.keep("keyed", judged.withColumn("gone", ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    # Only where ids repeat do several texts of a class have its least id; of these the first by hash stays.
+    least = judged.filter("not gone")
+    several = least.groupBy("root").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts")
+    least = least.join(several, "root", "left").withColumn("gone", F.coalesce(F.col("text_hash") != F.col("first"), F.lit(False)))
+    judged = judged.filter("gone").unionByName(least.drop("first")).filter("gone or rows > 1")
+    judged = space.keep("judged", judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone"))
     gone, repeated = judged.filter("gone").drop("gone"), judged.filter("not gone").drop("gone")
     named = packed(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))

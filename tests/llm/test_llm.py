@@ -515,6 +515,16 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, rows[-1][1]), (1, rows[0][1]), (2, ""), (2, "")]
 
 
+def test_near_copies_of_one_id_leave_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in (0, 30, 59)] + [" ".join(words)]
+    other = [" ".join(f"{c}{i}" for i in range(20)) for c in "yz"]
+    rows = [(i, t, "en", "a", 1) for i in (3, None) for t in (texts if i else [x.replace("w", "v") for x in texts])] + [(3, other[0], "en", "a", 1), (None, other[1], "en", "a", 1), (3, texts[0], "en", "b", 1)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()
+    assert len(out) == 4 and {r.text for r in out} >= set(other)
+    assert sum("w20 " in r.text for r in out) == sum("v20 " in r.text for r in out) == 1
+
+
 def test_a_poor_label_set_rejects_nothing_at_random(spark):
     rows = [(i, "plain words that mean little but are fine here", "en", "a", 5) for i in range(10)]
     kept = corpus_pipeline.quality_classifier(spark, spark.createDataFrame(rows, DOCS), SMALL)
