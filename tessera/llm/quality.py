@@ -2,7 +2,7 @@
 
 Each run of PASSAGE words is encoded as character-class pairs, hashed words and repetition; a hidden layer and gated
 attention (tanh times sigmoid) weigh the passages, and the weighted sum is scored. Only document labels are
-learned from. The training sample has a bound; scoring reads every passage of every document.
+learned from. The training sample has a bound of rows, not of their passages; scoring reads every passage of every document.
 """
 
 from __future__ import annotations
@@ -129,10 +129,10 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, steps: int =
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, passages: int = 64) -> tuple[list[np.ndarray], np.ndarray]:
-    """Encoded passages and labels of at most so many labelled rows whose id's crc32 modulo 5 is not 0.
+def sample(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
+    """All encoded passages and the labels of at most so many labelled rows whose id's crc32 modulo 5 is not 0.
 
-    They are the first by their id's hash. From a longer text this many passages are taken, evenly spaced.
+    They are the first by their id's hash.
     """
     known = labels.filter(F.col("quality").isNotNull() & (crc32_of_id() % 5 != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -144,8 +144,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 4000, passages: int =
             for row, data, starts in _text.pieces(batch.column("text")):
                 x, owner = encode(data, starts, cache)
                 at, n = _text.bounds(owner, len(starts) - 1), len(starts) - 1
-                some = [np.unique(np.linspace(at[i], at[i + 1] - 1, min(passages, at[i + 1] - at[i])).astype(np.int64)) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("quality").slice(row, n), pa.array([x[i].astype(np.float16).tobytes() for i in some], pa.binary())], ["doc_id", "quality", "x"])
+                x = x.astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("quality").slice(row, n), pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())], ["doc_id", "quality", "x"])
 
     table = rows.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in table["x"].to_pylist()]

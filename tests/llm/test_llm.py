@@ -92,6 +92,15 @@ def test_quality_odd(spark):
     assert quality.fit(spark.createDataFrame([], DOCS), labels)["c0"][0] == 0
 
 
+def test_quality_trains_on_every_passage(spark):
+    text = " ".join(f"w{i}" for i in range(100 * quality.PASSAGE - 1))
+    docs = spark.createDataFrame([(i, text) for i in range(1, 4)], "doc_id long, text string")
+    bags, _ = quality.sample(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    for _, data, starts in _text.pieces(pa.array([text])):
+        x, _ = quality.encode(data, starts, {})
+    assert bags and len(x) == 100 and all((b == x.astype(np.float16)).all() for b in bags)
+
+
 def test_quality_learns_from_bags():
     rng = np.random.default_rng(0)
     bags = [rng.standard_normal((rng.integers(1, 6), quality.WIDTH)).astype(np.float32) * 0.1 for _ in range(300)]
