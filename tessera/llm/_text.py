@@ -6,6 +6,8 @@ the hash of any span in constant time.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives freed memory back to the system, at the end of a task: workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if "p" not in cache or len(cache["p"]) < n:
@@ -48,8 +58,8 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def pieces(column: pa.Array, most: int = 1 << 20):
-    """(first row, bytes, starts) for runs of rows of about so many bytes together; a row is never cut.
+def pieces(column: pa.Array, most: int = 1 << 19, rows: int = 4096):
+    """(first row, bytes, starts) for runs of at most so many rows and about so many bytes together; a row is never cut.
 
     starts has one more entry than the run has rows; row i is bytes[starts[i]:starts[i + 1]].
     """
@@ -61,7 +71,7 @@ def pieces(column: pa.Array, most: int = 1 << 20):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        end = max(row + 1, min(row + rows, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -89,6 +99,34 @@ def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, cache: dict) ->
     return mix((sums[b] - sums[a]) * q[a] + (b - a).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, cache: dict, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each word and its hash. One row of more bytes than most is read in parts, cut at spaces."""
+    if len(data) <= most or len(starts) > 2:
+        rows, a, b = spans(~SPACE[data], starts)
+        return rows, span_hashes(data, a, b, cache)
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + most, len(data))
+        while end < len(data) and not SPACE[data[end]]:
+            space = np.flatnonzero(SPACE[data[end : end + most]])
+            end += int(space[0]) if len(space) else min(most, len(data) - end)
+        part = data[at:end]
+        _, a, b = spans(~SPACE[part], np.array([0, len(part)]))
+        found.append(span_hashes(part, a, b, cache))
+        at = end
+    words = np.concatenate(found)
+    return np.zeros(len(words), np.int64), words
+
+
+def sequences(words: np.ndarray, rows: np.ndarray, n: int, cache: dict) -> np.ndarray:
+    """A signed 64-bit hash of each of n rows' words in order; rows are ascending."""
+    at = bounds(rows, n)
+    p, _ = powers(len(words) + 1, cache)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * p[np.arange(len(words)) - at[rows]], out=sums[1:])
+    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
 def grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive words of one row, and the index of each one's first word."""
     if len(words) < n:

@@ -1,23 +1,27 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document's set holds the hashes of its distinct GRAM-word shingles; two sets link if their Jaccard similarity is at
-least PERCENT. Equal sets are one node, so copies meet once. A first pass counts in how many documents the shingles
-of each of 2**BITS hash buckets stand, and, by runs of about CHUNK shingles, the shingles that a run holds more than
-once; the COMMON most frequent of those have their own counts. Shingles are ordered by their own count, then by their
-bucket's, rarest first, and then by hash. Any such order is right; a better one leaves fewer candidates.
-Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles, the prefix, so only prefix shingles that two
+least PERCENT. Equal sets are one node, so copies meet once. A first pass over all texts finds, by runs of about CHUNK
+shingles, those that a run holds more than once, with their counts; of these at most COMMON, the most frequent, have a
+level, which grows with the count. A shingle's token is its level before 52 bits of its hash, and tokens in ascending
+order are the shingles' order: rare ones first. Any such order is right; a better one leaves fewer candidates.
+Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles, the prefix, so only prefix tokens that two
 nodes share give candidates. Candidates pass the length filter, the positional filter (what can still follow the
-places of the shared shingle) and the suffix filter (the hash space is cut into PARTS ranges, and the sum of
-the smaller counts of each range bounds the overlap; before that, a node's bitmap of odd counts in SKETCH ranges does: two
+places of the shared token) and the suffix filter (the hash space is cut into ranges, PARTS or half as many as a set
+has shingles, and the sum of the smaller counts of each range bounds the overlap; before that, a node's bitmap of odd counts in SKETCH ranges does: two
 bitmaps differ in no more bits than the sets in shingles). The rest are verified once on the whole sets.
 
-all_links() verifies every candidate. near_duplicates() needs only the classes: the nodes of a shingle that stands in at
-most GROUP rows meet at once, the nodes of another meet that shingle's hubs first, the classes found so far are
-contracted, and then only candidates between different classes are left; all of those are verified too. No link between two classes is lost, and a large group of near
-copies costs a multiple of its size instead of its square.
+Prefix entries are shuffled once, as arrays by bucket of token, to partitions of about TASK entries, which keep those
+that share a token; the entries of a token with a level, which may be hot, are dealt by SALTS besides, and all kept.
+
+all_links() verifies every candidate. near_duplicates() needs only the classes: the nodes of a token that stands in at
+most GROUP rows meet at once, the nodes of another meet that token's hubs first, the classes found so far are
+contracted, and then only candidates between different classes are left; all of those are verified too. No link between
+two classes is lost, and a large group of near copies costs a multiple of its size instead of its square.
 
 A null or empty text, or one without words, has an empty set and links with nothing. A text of fewer than GRAM
-words has its whole word sequence as its one shingle. Nodes are told apart by a 64-bit hash of their set.
+words has its whole word sequence as its one shingle. Nodes are told apart by a 64-bit hash of their set. Repeated rows
+are rows of one node. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +36,18 @@ from pyspark.sql import functions as F
 from . import _text
 from ._stage import Workspace
 
-GRAM, PERCENT, BITS, PARTS, SKETCH = 5, 80, 16, 128, 1024
-CHUNK, COMMON = 1 << 21, 1 << 17
+GRAM, PERCENT, PARTS, SKETCH = 5, 80, 128, 1024
+CHUNK, COMMON, SALTS, TASK, HELD = 1 << 20, 1 << 17, 64, 1 << 20, 1 << 18
 BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
+#: A token's level stands above so many bits of the hash.
+LEVEL = 52
 #: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Rows of a shingle up to which all its pairs are made within one row.
+#: A pair with a bitmap counts as so many such rows.
+WIDE = 8
+#: Rows of a token up to which all its pairs are made within one row.
 GROUP = 32
-#: A round's orders, in each of which a shingle's least node is a hub; and the hubs that a node is verified with.
+#: A round's orders, in each of which a token's least node is a hub; and the hubs that a node is verified with.
 SEEDS = (
     (0, 0x7FFFFFFFFFFFFFFF, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D), (0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82B),
     (0x0F1BBCDCBFA53E0B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1), (0x6A09E667F3BCC908, 0x4528E638D01377BE, 0x38D01377BE5466CF, 0x082EFA98EC4E6C89),
@@ -52,26 +60,34 @@ TIMES, SPARE = 4, 100_000
 
 def shingles(data: np.ndarray, starts: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """The sets' hashes and the row of each, ordered by row and hash."""
-    low = _text.LOWER[data]
-    rows, a, b = _text.spans(~_text.SPACE[low], starts)
-    words = _text.span_hashes(low, a, b, cache)
+    rows, words = _text.word_hashes(_text.LOWER[data], starts, cache)
     n = np.bincount(rows, minlength=len(starts) - 1)
     h, at = _text.grams(words, rows, GRAM)
-    found, owner = [h], [rows[at]]
-    for k in range(1, GRAM):
-        if (n == k).any():
+    r = rows[at]
+    if ((n > 0) & (n < GRAM)).any():
+        found, owner = [h], [r]
+        for k in range(1, GRAM):
             h, at = _text.grams(words, rows, k)
             whole = n[rows[at]] == k
             found.append(h[whole])
             owner.append(rows[at][whole])
-    h, r = np.concatenate(found), np.concatenate(owner)
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+        h, r = np.concatenate(found), np.concatenate(owner)
+        order = np.argsort(r, kind="stable")
+        h, r = h[order], r[order]
+    _sort_rows(h, _text.bounds(r, len(starts) - 1))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     return h[new], r[new]
 
 
+def _sort_rows(values: np.ndarray, at: np.ndarray) -> None:
+    """Sorts values[at[i]:at[i + 1]] in place, for each i."""
+    ends = at.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def _nodes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of each row's set: the sum of its mixed hashes, and their number."""
     total = np.zeros(len(h) + 1, np.uint64)
@@ -83,70 +99,131 @@ def _prefix(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
 
 
+def _parts(h: np.ndarray) -> bytes:
+    """How many of a set's hashes stand in each of about half as many ranges, at least PARTS; empty if one has too many.
+
+    The ranges are of the low bits, so that those of a set of another size come from adding halves.
+    """
+    size = max(PARTS, 1 << max(0, (len(h) - 1).bit_length() - 1))
+    count = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return count.astype(np.uint16).tobytes() if count.max() < 65536 else b""
+
+
 def _marks(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, text_hash, node, n, parts, bitmap) for each document, (bucket, count) for each bucket and task, and
-    (shingle, count) for each shingle that a run of about CHUNK shingles holds more than once."""
+    """A row (doc_id, text_hash, node, n, bitmap) for each document, and (shingle, count) for each shingle that a run of
+    about CHUNK shingles holds more than once."""
+    names = ["doc_id", "text_hash", "node", "n", *BITMAP, "shingle", "count"]
+    first = len(names) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = {}, np.zeros(1 << BITS, np.int64)
-        names = ["doc_id", "text_hash", "node", "n", "parts", *BITMAP, "bucket", "shingle", "count"]
+        cache: dict = {}
         held: list[np.ndarray] = []
-        none = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *([pa.int64()] * len(BITMAP)))
 
         def often() -> pa.RecordBatch:
-            found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
-            found, count = found[count > 1], count[count > 1]
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in none), pa.nulls(len(found), pa.int32()), pa.array(found.view(np.int64)), pa.array(count)], names)
+            every.sort()
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+            count = np.diff(np.append(new, len(every)))
+            found, count = every[new[count > 1]], count[count > 1]
+            return pa.RecordBatch.from_arrays([*([pa.nulls(len(found), pa.int64())] * first), pa.array(found.view(np.int64)), pa.array(count)], names)
 
         for batch in batches:
-            for row, data, starts in _text.pieces(batch.column("text")):
+            for row, data, starts in _text.pieces(batch.column("text"), rows=1024):
                 rows = len(starts) - 1
                 h, r = shingles(data, starts, cache)
                 at = _text.bounds(r, rows)
                 n = np.diff(at)
-                total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-                parts = np.bincount(r * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=rows * PARTS).reshape(rows, PARTS).astype(np.uint32)
-                odd = np.bincount(r * SKETCH + ((h >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH) & 1
-                bitmap = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                packed = [p.astype(np.uint16).tobytes() if p.max() < 65536 else p.tobytes() for p in parts]
-                columns = [batch.column("doc_id").slice(row, rows), batch.column("text_hash").slice(row, rows), pa.array(_nodes(h, at), mask=n == 0), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary()), *(pa.array(bitmap[:, i].copy()) for i in range(len(BITMAP)))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+                odd = np.bincount(r * SKETCH + ((h >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH).astype(np.uint8) & 1
+                bitmap = np.packbits(odd.reshape(rows, SKETCH), axis=1).view(np.int64)
+                own = [batch.column("doc_id").slice(row, rows), batch.column("text_hash").slice(row, rows), pa.array(_nodes(h, at), mask=n == 0), pa.array(n.astype(np.int64)), *(pa.array(bitmap[:, i].copy()) for i in range(len(BITMAP)))]
+                yield pa.RecordBatch.from_arrays([*own, *([pa.nulls(rows, pa.int64())] * 2)], names)
                 held.append(h)
                 if sum(map(len, held)) >= CHUNK:
                     yield often()
         yield often()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in none), pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.array(total[some])], names)
+        _text.release()
 
-    return docs.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, parts binary, {', '.join(f'{b} long' for b in BITMAP)}, bucket int, shingle long, count long")
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def _entries(docs: DataFrame, rank: np.ndarray, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(token, node, n, at): each prefix shingle of each document, and its place in the order.
+def _entries(docs: DataFrame, common: np.ndarray, levels: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, token, node, spot): the prefix entries of all documents, as arrays of 64-bit numbers by bucket.
 
-    rank has the buckets' counts; common the sorted hashes of frequent shingles, times their counts.
+    An entry is a prefix shingle's token, its node, and n << 32 | at: the set's size and the shingle's place in the
+    order. Equal tokens are in one bucket; those with a level in SALTS at most. common has the sorted hashes of
+    frequent shingles, levels their levels, of at least 1; all others have level 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((rank, common, times))
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(common >> np.uint64(44)).astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast((common, levels.astype(np.uint64), maybe))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (order, known, count) = {}, shared.value
+        cache, (known, level, maybe) = {}, shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            token, node, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            salt = np.where(token >> np.uint64(LEVEL) > 0, node.view(np.uint64) % np.uint64(SALTS), np.uint64(0))
+            bucket = (_text.mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket)
+            found, first = np.unique(bucket[order], return_index=True)
+            offsets = pa.py_buffer((np.append(first, len(order)) * 8).astype(np.int32))
+            arrays = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x[order])]) for x in (token, node, spot)]
+            return pa.RecordBatch.from_arrays([pa.array(found), *arrays], ["bucket", "token", "node", "spot"])
+
         for batch in batches:
             for _, data, starts in _text.pieces(batch.column("text")):
                 h, r = shingles(data, starts, cache)
                 at = _text.bounds(r, len(starts) - 1)
                 n, node = np.diff(at), _nodes(h, at)
-                own = np.zeros(len(h), np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    own = np.where(known[place] == h, count[place], 0)
-                ranked = np.lexsort((h, order[(h >> np.uint64(64 - BITS)).astype(np.int64)], own, r))
+                token = h >> np.uint64(64 - LEVEL)
+                some = np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)])
+                if len(some):
+                    place = np.minimum(np.searchsorted(known, h[some]), len(known) - 1)
+                    token[some] |= np.where(known[place] == h[some], level[place], np.uint64(0)) << np.uint64(LEVEL)
+                _sort_rows(token, at)
                 place = np.arange(len(h)) - at[r]
-                first = place < _prefix(n)[r]
+                first = np.flatnonzero(place < _prefix(n)[r])
                 owner = r[first]
-                yield pa.RecordBatch.from_arrays([pa.array(h[ranked][first].view(np.int64)), pa.array(node[owner]), pa.array(n[owner].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["token", "node", "n", "at"])
+                held.append((token[first], node[owner], n[owner].astype(np.int64) << 32 | place[first]))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield dealt()
+        if held:
+            yield dealt()
+        _text.release()
+
+    return docs.select("text").mapInArrow(run, "bucket int, token binary, node binary, spot binary")
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """(token, node, n, at): the entries whose token stands more than once in their partition, or has a level.
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, at int")
+    A partition holds about TASK entries: no token without a level is frequent, and the others are dealt by salts.
+    """
+
+    def flat(column: pa.Array) -> np.ndarray:
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        return np.frombuffer(column.buffers()[2], np.int64, (ends[-1] - ends[0]) // 8, ends[0]) if len(column) else np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(flat(batch.column(c)).copy() for c in ("token", "node", "spot")) for batch in batches]
+        if not held:
+            return
+        token, node, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(token)
+        same = np.flatnonzero(token[order[1:]] == token[order[:-1]])
+        keep = token.view(np.uint64) >> np.uint64(LEVEL) > 0
+        keep[order[same]] = keep[order[same + 1]] = True
+        token, node, spot = token[keep], node[keep], spot[keep]
+        del order, same, keep
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array((spot >> 32).astype(np.int32)), pa.array((spot & 0xFFFFFFFF).astype(np.int32))], ["token", "node", "n", "at"])
+        del token, node, spot
+        _text.release()
+
+    return dealt.select("token", "node", "spot").mapInArrow(run, "token long, node long, n int, at int")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -170,7 +247,7 @@ def _may_differ(n: Column, m: Column) -> Column:
 
 
 def _may_link(x: Column, y: Column) -> Column:
-    """The length and the positional filter for two entries (node, n, at) of one shingle.
+    """The length and the positional filter for two entries (node, n, at) of one token.
 
     The shingle and what follows it in either set may be shared; of those before it, as many as in the shorter run.
     """
@@ -185,49 +262,61 @@ class Join:
         self.docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
         self.space = Workspace(docs.sparkSession, "jaccard")
         marks = self.space.keep("marks", _marks(self.docs))
-        counts = marks.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # at most 2**BITS rows
-        rank = np.zeros(1 << BITS, np.int64)
-        rank[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
-        often = marks.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count"))
-        often = often.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
-        common, times = often["shingle"].to_numpy().view(np.uint64), often["count"].to_numpy()
-        order = np.argsort(common)
-        marks = marks.filter("bucket is null and shingle is null")
-        self.marks = marks.select("doc_id", "text_hash", "node", "n")
-        nodes = marks.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parts").alias("parts"), *(F.max(b).alias(b) for b in BITMAP))
+        common, levels = self._common(marks.filter("shingle is not null"))
+        held = marks.filter("shingle is null and node is not null")
+        self.marks = marks.filter("shingle is null").select("doc_id", "text_hash", "node", "n")
+        # A node stands for one text, that of its least id; the texts of its other rows are not read again.
+        nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min_by("text_hash", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("hash"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in BITMAP))
         self.nodes = self.space.keep("nodes", nodes)
-        entries = _entries(self.docs, rank, common[order], times[order])
-        tokens = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-        tokens = self.space.keep("tokens", tokens)
-        # A shingle of few rows becomes one row, whose pairs are made there.
-        prefix = self.space.keep("prefix", entries.join(tokens.select("token", "rows"), "token"))
-        few = prefix.filter(F.col("rows") <= GROUP)
-        few = few.groupBy("token").agg(F.collect_set(F.struct("node", "n", "at")).alias("all"))
+        others = held.select("doc_id", "text_hash", "node").join(self.nodes.select("node", "doc", "hash"), "node").filter(~(F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))))
+        others = self.space.keep("others", others.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+        self.repeated = held.count() > self.nodes.count() + others.count()
+        first = self.docs.join(self._small(others), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
+        total = held.agg(F.sum(F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1)).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK))
+        shared = _shared(_entries(first, common, levels, 8 * parts).repartition(parts, "bucket"))
+        shared = self.space.keep("candidates", shared.distinct() if self.repeated else shared)
+        hot = self._small(self.space.keep("hot", shared.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > GROUP).select("token")))
+        # A token of few rows becomes one row, whose pairs are made there.
+        few = shared.join(hot, "token", "left_anti").groupBy("token").agg(F.collect_list(F.struct("node", "n", "at")).alias("all")).filter(F.size("all") > 1)
         few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & _may_link(F.col("x"), y))).alias("y"))
         self.few = self.space.keep("few", few.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
-        shared = prefix.filter(F.col("rows") > GROUP).drop("rows").distinct()
-        self.shared = self.space.keep("shared", shared)
+        self.shared = self.space.keep("shared", shared.join(hot, "token", "left_semi"))
         self.rounds = 0
 
+    @staticmethod
+    def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+        """For a join: broadcast, if it has few rows."""
+        return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+    def _common(self, often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes and levels of at most COMMON shingles, the most frequent ones; shingles of one level stay together."""
+        level = F.least(F.greatest(F.floor(F.log2("count") * 64), F.lit(1)), F.lit((1 << (64 - LEVEL)) - 1)).cast("int")
+        often = self.space.keep("often", often.groupBy("shingle").agg(F.sum("count").alias("count")).select("shingle", level.alias("level")))
+        sizes = sorted(often.groupBy("level").count().collect(), reverse=True)  # at most as many rows as levels
+        least, total = 1 << 30, 0
+        for size, count in sizes:
+            total += count
+            if total > COMMON:
+                break
+            least = size
+        found = often.filter(F.col("level") >= least).toArrow()
+        common = found["shingle"].to_numpy().view(np.uint64)
+        order = np.argsort(common)
+        return common[order], found["level"].to_numpy()[order]
+
     def pairs(self, candidates: DataFrame) -> DataFrame:
         """(a, b), a < b, once each."""
         return candidates.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def _near(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
-        """Pairs that pass the length filter and whose bitmaps do not forbid them, with far, the share of differing bits."""
-        side = lambda c: self.nodes.select(F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", *BITMAP)))
-        pairs = pairs.join(side(x), x).join(side(y), y)
-        n, m, differ = F.col(f"{x}_n"), F.col(f"{y}_n"), _differ(f"{x}_", f"{y}_")
-        return pairs.filter(_close(n, m) & (differ <= _may_differ(n, m))).withColumn("far", differ / (n + m))
-
     def to_hubs(self, met: DataFrame) -> DataFrame:
-        """Candidates of each node among the hubs (node, hub) that it meets: the BEST whose bitmaps differ least.
+        """Candidates of each node among the hubs (node, hub) that it meets: the BEST that share most prefix tokens with it.
 
         The others are not lost: unless their classes become one, between() comes to them.
         """
-        met = self._near(met.filter("node <> hub").distinct(), "hub", "node")
+        met = met.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("_times"))
         # A node has at most as many rows as its prefix has shingles, times the hubs.
-        best = F.row_number().over(Window.partitionBy("node").orderBy("far", "hub"))
+        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("_times"), "hub"))
         return met.withColumn("_rank", best).filter(F.col("_rank") <= BEST).select(F.col("node").alias("x"), F.col("hub").alias("y"))
 
     def between(self, entries: DataFrame, major: DataFrame | None = None) -> DataFrame:
@@ -251,55 +340,66 @@ class Join:
         """The pairs (a, b) that link, by their whole sets."""
         self.rounds += 1
         k = self.rounds
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"p_{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("n_a"), F.col("n_b")))
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(x).alias(f"{c}_{x}") for x in BITMAP))
+        n, m = F.col("n_a"), F.col("n_b")
+        rows = pairs.count()
+        near = self._small(side("a").join(self._small(pairs, rows), "a"), WIDE * rows).join(side("b"), "b").filter(_close(n, m) & (_differ("a_", "b_") <= _may_differ(n, m)))
+        near = self.space.keep(f"near{k}", near.select("a", "b", "n_a", "n_b"))
+        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        sets = self.space.keep(f"sets{k}", self._sets(wanted.join(self.nodes.select("node", "doc", "hash"), "node")))
+
+        def fits(x: bytes, y: bytes, need: int) -> bool:
+            x, y = sorted((np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y)), key=len)
+            while len(x) and len(y) > len(x):
+                y = y.reshape(2, -1).sum(0)
+            return not len(x) or int(np.minimum(x, y).sum()) >= need
 
         def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
                 need = -(-PERCENT * (n + m) // (100 + PERCENT))
-                read = lambda x: np.frombuffer(x, np.uint16 if len(x) == 2 * PARTS else np.uint32)
-                most = [int(np.minimum(read(x), read(y)).sum()) for x, y in zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist(), strict=True)]
-                yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(np.array(most, np.int64) >= need))
-
-        near = self.space.keep(f"near{k}", near.select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "p_a", "p_b").mapInArrow(suffix, "a long, b long, doc_a long, doc_b long"))
-        wanted = near.select(F.col("a").alias("wanted"), F.col("doc_a").alias("doc")).union(near.select("b", "doc_b")).distinct()
-        sets = self.space.keep(f"sets{k}", self._sets(wanted))
-        whole = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                linked = []
-                for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-        return self.space.keep(f"links{k}", whole.mapInArrow(exact, "a long, b long"))
+                ok = [fits(x.as_py(), y.as_py(), k) for x, y, k in zip(batch.column("p_a"), batch.column("p_b"), need.tolist(), strict=True)]
+                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok, pa.bool_()))
+
+        part = lambda c, v, p: sets.select(F.col("node").alias(c), F.col(v).alias(f"{p}_{c}"))
+        left = self._small(near).join(part("a", "parts", "p"), "a").join(part("b", "parts", "p"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+        left = self.space.keep(f"left{k}", left.mapInArrow(suffix, "a long, b long, n_a long, n_b long"))
+        whole = self._small(left).join(part("a", "set", "s"), "a").join(part("b", "set", "s"), "b")
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        links = self.space.keep(f"links{k}", whole.filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+        for name in ("near", "sets", "left"):
+            self.space.drop(f"{name}{k}")
+        return links
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """(node, set) of the wanted nodes, from one text of each."""
-        few = wanted.count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("wanted", "text")
+        """(node, parts, set) of the wanted nodes (node, doc, hash), from one text of each."""
+        wanted = self.space.keep(f"wanted{self.rounds}", wanted.withColumnRenamed("node", "wanted"))
+        same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))
+        texts = self.docs.join(self._small(wanted), same).select("wanted", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache = {}
+            cache: dict = {}
+            done: set[int] = set()
             for batch in batches:
                 for row, data, starts in _text.pieces(batch.column("text")):
+                    rows = len(starts) - 1
                     h, r = shingles(data, starts, cache)
-                    at = _text.bounds(r, len(starts) - 1)
-                    node, want = _nodes(h, at), batch.column("wanted").slice(row, len(starts) - 1).to_numpy()
-                    ok = np.flatnonzero(node == want)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in ok], pa.binary())], ["node", "set"])
-
-        return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+                    at = _text.bounds(r, rows)
+                    want = batch.column("wanted").slice(row, rows).to_pylist()
+                    new = [i for i, w in enumerate(want) if w not in done and not done.add(w)]
+                    parts = [_parts(h[at[i] : at[i + 1]]) for i in new]
+                    ends = np.concatenate([[0], np.cumsum(np.diff(at)[new])]).astype(np.int32)
+                    values = np.concatenate([h[at[i] : at[i + 1]] for i in new]) if new else np.zeros(0, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in new], pa.int64()), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["node", "parts", "set"])
+            _text.release()
+
+        found = texts.mapInArrow(run, "node long, parts binary, set array<long>")
+        # Only where whole rows repeat can a text come twice, from each task at most once.
+        return found.dropDuplicates(["node"]) if self.repeated else found
 
     def all_links(self) -> DataFrame:
         """Every link (a, b) between different sets."""
-        pairs = self.between(self.shared).union(self._near(self.few, "x", "y").select("x", "y"))
-        return self.verify(self.space.keep("pairs", self.pairs(pairs)))
+        return self.verify(self.space.keep("pairs", self.pairs(self.between(self.shared).union(self.few))))
 
     def hubs(self, entries: DataFrame, seeds: tuple) -> DataFrame:
         """(token, hub): a shingle's least node in each order."""
@@ -310,7 +410,7 @@ class Join:
         """(node, root) of the nodes that link with another, and the links that were verified."""
         size, entries, last, before = self.shared.count(), self.shared, False, float("inf")
         met = self.to_hubs(entries.join(self.hubs(entries, SEEDS[0]), "token").select("node", "hub"))
-        tried = self.space.keep("tried0", self.pairs(self._near(self.few, "x", "y").select("x", "y").union(met)))
+        tried = self.space.keep("tried0", self.pairs(self.few.union(met)))
         links = self.verify(tried)
         while True:
             roots = components(links, self.space, f"roots{self.rounds}")
