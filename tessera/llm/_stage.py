@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most so many bytes from now on, as a task holds several of them outside the heap and in Python."""
+    now = str(spark.conf.get(BATCH)).rstrip("b")
+    if now.isdigit() and not 0 < int(now) <= most:
+        spark.conf.set(BATCH, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; unset, a folder of this machine in local mode and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_tessera_folder", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext._tessera_folder = base
     return base
@@ -23,6 +39,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
 
@@ -31,9 +48,13 @@ class Workspace:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        # Shuffle files go once the driver has collected the plans that made them.
-        self.spark._jvm.System.gc()
+        # The shuffle files of the write go with it: what follows reads the table.
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
