@@ -3,107 +3,136 @@
 A document's length is its number of words [^\\x20\\x09-\\x0D]+ plus an end mark, so a null or empty text has length 1.
 A longer one than a bin fills whole bins with its first pieces, and its last piece, of 1 to CAPACITY, is packed.
 Pieces are dealt by hash into shards of about SHARD items, which are packed independently, longest first. A shard
-keeps its open bins ordered by residual, each with a bitmap of sources and one of clusters (hashed to BITMAP bits:
-a collision only looks like a conflict). The search begins at the first residual that fits and goes on to the next
-larger ones until the bitmaps allow a bin, so the tightest compatible bin is found; without one, a new bin opens.
-
-A cluster is a class of near duplicates where pack() is given classes, and else the documents of equal words.
+keeps its open bins ordered by residual, each with a bitmap of sources and one of clusters. The search begins at the
+first residual that fits and goes on to the next larger ones until the bitmaps allow a bin, so the tightest compatible
+bin is found; without one, a new bin opens. The bitmaps are exact: each source and cluster that a shard holds more
+than once has a bit of its own there, and the others, which meet nothing, need none.
+
+A cluster is a class of near duplicates where pack() is given classes, and else the documents of equal words, A-Z
+lower-cased. A null source is a source of its own. Repeated rows are documents of their own, and copies of each other.
+An empty table gives no bins.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
+from . import _text, jaccard
 from ._stage import Workspace
 
-CAPACITY, SHARD, BITMAP = 2048, 8192, 256
-_WORDS = BITMAP // 64
-
-
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
+CAPACITY, SHARD = 2048, 8192
 
 
 class Bins:
-    """Open bins as columns of one array, ordered by residual: residual, id, source words, cluster words."""
+    """Open bins ordered by residual, and by bin a bitmap of its sources and one of its clusters.
+
+    A source or a cluster is a number under its limit, or -1 if nothing else has it.
+    """
 
     BLOCK = 256
 
-    def __init__(self, capacity: int):
+    def __init__(self, capacity: int, sources: int = 256, clusters: int = 256):
         self.capacity, self.open, self.made = capacity, 0, 0
-        self.rows = np.zeros((2 + 2 * _WORDS, 1024), np.uint64)
+        self.residual, self.order = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.bits = [np.zeros((max(1, -(-n // 64)), 1024), np.uint64) for n in (sources, clusters)]
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """The bin for an item and its offset there."""
-        sw, sb = 2 + source // 64, np.uint64(1 << (source % 64))
-        cw, cb = 2 + _WORDS + cluster // 64, np.uint64(1 << (cluster % 64))
-        rows, found = self.rows, -1
-        at = int(np.searchsorted(rows[0, : self.open], np.uint64(size)))
+        marks = [(bits[i // 64], np.uint64(1 << (i % 64))) for bits, i in zip(self.bits, (source, cluster), strict=True) if i >= 0]
+        found = -1
+        at = int(np.searchsorted(self.residual[: self.open], size))
         while at < self.open:
             end = min(at + self.BLOCK, self.open)
-            free = ((rows[sw, at:end] & sb) | (rows[cw, at:end] & cb)) == 0
-            i = int(free.argmax())
-            if free[i]:
+            bins = self.order[at:end]
+            taken = np.zeros(end - at, bool)
+            for word, bit in marks:
+                taken |= (word[bins] & bit) != 0
+            i = int(taken.argmin())
+            if not taken[i]:
                 found = at + i
                 break
             at = end
-        if found < 0:
-            if self.open == rows.shape[1]:
-                rows = self.rows = np.concatenate([rows, np.zeros_like(rows)], axis=1)
-            found = self.open
-            rows[:, found] = 0
-            rows[0, found], rows[1, found] = self.capacity, self.made
-            self.open += 1
-            self.made += 1
-        column = rows[:, found].copy()
-        offset, bin_id = self.capacity - int(column[0]), int(column[1])
-        column[0] -= np.uint64(size)
-        column[sw] |= sb
-        column[cw] |= cb
-        if column[0]:
-            to = int(np.searchsorted(rows[0, : found + 1], column[0]))
-            rows[:, to + 1 : found + 1] = rows[:, to:found].copy()
-            rows[:, to] = column
-        else:
-            rows[:, found : self.open - 1] = rows[:, found + 1 : self.open].copy()
+        if found >= 0:
+            residual, bin_id = int(self.residual[found]), int(self.order[found])
+            for x in (self.residual, self.order):
+                x[found : self.open - 1] = x[found + 1 : self.open].copy()
             self.open -= 1
-        return bin_id, offset
+        else:
+            residual, bin_id = self.capacity, self.made
+            self.made += 1
+            if bin_id == self.bits[0].shape[1]:
+                self.residual, self.order = (np.concatenate([x, np.zeros_like(x)]) for x in (self.residual, self.order))
+                self.bits = [np.concatenate([x, np.zeros_like(x)], axis=1) for x in self.bits]
+                marks = [(bits[i // 64], np.uint64(1 << (i % 64))) for bits, i in zip(self.bits, (source, cluster), strict=True) if i >= 0]
+        for word, bit in marks:
+            word[bin_id] |= bit
+        if left := residual - size:
+            to = int(np.searchsorted(self.residual[: self.open], left))
+            for x, v in ((self.residual, left), (self.order, bin_id)):
+                x[to + 1 : self.open + 1] = x[to : self.open].copy()
+                x[to] = v
+            self.open += 1
+        return bin_id, self.capacity - residual
 
 
-def folded(text: Column) -> Column:
-    """The text whose words are compared."""
-    return F.lower(F.coalesce(text, F.lit("")))
+def numbered(ids: np.ndarray) -> tuple[list[int], int]:
+    """A number for each id that stands more than once, from 0 on, else -1; and how many numbers there are."""
+    _, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+    return number[place].tolist(), int((count > 1).sum())
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(text_hash, root): the class of near duplicates of each folded text that has words."""
-    found = jaccard.near_duplicates(docs.select("doc_id", folded(F.col("text")).alias("text")))
-    return found.filter("root is not null").groupBy("text_hash").agg(F.min("root").alias("root"))
+    """(text_hash, root): the class of near duplicates of each text that is near another."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    found = found.filter("root is not null").groupBy("text_hash").agg(F.min("root").alias("root"))
+    return found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("root"), "root").select("text_hash", "root")
 
 
 def items(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, length, source_bit, cluster_bit, cluster, _spread) of each document.
+    """(doc_id, length, source_id, cluster, _spread) of each document; a cluster is its class, or else its words' hash.
 
-    A cluster is a class (text_hash, root) of folded texts; without one, the documents of equal folded words. A null
-    source is a source of its own.
+    With classes, equal words that are not of a class are those of equal texts.
     """
-    text = folded(F.col("text"))
-    named = docs.select("doc_id", "source", words(text).alias("_words"), F.xxhash64("doc_id", "text").alias("_spread"), F.xxhash64(text).alias("_hash"))
-    cut = named.select(
-        "doc_id", "_spread", "_hash", (F.size("_words") + 1).cast("long").alias("length"), F.xxhash64("_words").alias("cluster"),
-        F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(BITMAP)).cast("int").alias("source_bit"),
-    )
+    text = F.coalesce("text", F.lit(""))
+    source = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+    plain = classes is None
+    named = docs.select("doc_id", text.alias("text"), source.alias("source_id"), F.xxhash64("doc_id", "text").alias("_spread"), F.xxhash64(text).alias("_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            for row, data, starts in _text.pieces(batch.column("text")):
+                n = len(starts) - 1
+                own = [batch.column(c).slice(row, n) for c in ("doc_id", "source_id", "_spread", "_hash")]
+                if plain:
+                    rows, words = _text.word_hashes(_text.LOWER[data], starts, cache)
+                    count, cluster = np.bincount(rows, minlength=n), _text.sequences(words, rows, n, cache)
+                else:
+                    space = _text.SPACE[data]
+                    first = ~space
+                    first[1:] &= space[:-1]
+                    # A row's first byte begins a word whatever stands before it.
+                    inner = starts[:-1][starts[:-1] < len(data)]
+                    first[inner] = ~space[inner]
+                    sums = np.concatenate([[0], np.cumsum(first)])
+                    count = sums[starts[1:]] - sums[starts[:-1]]
+                    cluster = np.where(count > 0, own[3].to_numpy(), 0)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(count.astype(np.int64) + 1), pa.array(cluster.astype(np.int64))], ["doc_id", "source_id", "_spread", "_hash", "length", "cluster"])
+
+    cut = named.mapInArrow(run, "doc_id long, source_id long, _spread long, _hash long, length long, cluster long")
     if classes is not None:
         known = classes.select(F.col("text_hash").alias("_hash"), "root")
         known = F.broadcast(known) if known.count() <= jaccard.BROADCAST_ROWS else known
         cut = cut.join(known, "_hash", "left").withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
-    return cut.drop("_hash").withColumn("cluster_bit", F.pmod(F.xxhash64("cluster"), F.lit(BITMAP)).cast("int"))
+    return cut.drop("_hash")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, classes: DataFrame | None = None) -> DataFrame:
@@ -119,8 +148,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, classes:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "cluster", "full"], ascending=[False, True, True, True], kind="stable", na_position="first")
-        bins = Bins(capacity)
-        placed = [bins.place(*x) for x in zip(rows["size"].tolist(), rows["source_bit"].tolist(), rows["cluster_bit"].tolist(), strict=True)]
+        (sources, several), (clusters, copies) = numbered(rows["source_id"].to_numpy()), numbered(rows["cluster"].to_numpy())
+        bins = Bins(capacity, several, copies)
+        placed = [bins.place(*x) for x in zip(rows["size"].tolist(), sources, clusters, strict=True)]
         base = int(key[0]) << 40
         out, used = [], bins.made
         for doc, full, size, (b, offset) in zip(rows["doc_id"], rows["full"], rows["size"], placed, strict=True):
@@ -131,7 +161,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, classes:
         return pd.DataFrame(out, columns=["doc_id", "piece", "begin", "length", "bin_id", "bin_offset"]).astype({"doc_id": "Int64"})
 
     # A shard is bounded by its item count, and hot sources and clusters are spread over all shards.
-    parts = last.select("doc_id", "cluster", "full", "size", "source_bit", "cluster_bit", "shard")
+    parts = last.select("doc_id", "cluster", "full", "size", "source_id", "shard")
     return parts.groupBy("shard").applyInPandas(run, "doc_id long, piece long, begin long, length long, bin_id long, bin_offset long")
 
 

@@ -56,6 +56,21 @@ def test_text_hashes_tell_words_apart():
     assert rows.tolist() == [0, 0, 0, 3, 3] and h[0] == h[2] == h[4] != h[1] == h[3]
 
 
+def test_pieces_are_bounded_in_rows_too():
+    column = pa.array(["a b"] * 10_000)
+    got = [(row, len(starts) - 1) for row, _, starts in _text.pieces(column)]
+    assert sum(n for _, n in got) == 10_000 and max(n for _, n in got) == 4096 and [row for row, _ in got] == [0, 4096, 8192]
+
+
+def test_a_long_row_is_hashed_in_parts():
+    text = " ".join(f"w{i % 977}" for i in range(3000)) + " " + "y" * 500 + "  z"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts = np.array([0, len(data)])
+    for most in (1, 7, 64, 1000):
+        rows, words = _text.word_hashes(data, starts, {}, most)
+        assert (words == _text.word_hashes(data, starts, {})[1]).all() and not rows.any() and len(words) == 3002
+
+
 # 1
 
 
@@ -383,10 +398,11 @@ def test_packing(spark, small):
     assert n >= max(total / 512, hot) and n < 1.7 * max(total / 512, hot) + 20
 
 
-def test_best_fit_is_the_tightest_compatible_bin():
-    rng, bins, plain = random.Random(2), packing.Bins(100), []
-    for _ in range(800):
-        size, s, k = rng.randint(1, 100), rng.randint(0, 6), rng.randint(0, 255)
+@pytest.mark.parametrize(("sources", "clusters"), [(7, 256), (900, 5000), (1, 1)])
+def test_best_fit_is_the_tightest_compatible_bin(sources, clusters):
+    rng, bins, plain = random.Random(2), packing.Bins(100, sources, clusters), []
+    for _ in range(1500):
+        size, s, k = rng.randint(1, 100), rng.randrange(sources), rng.randrange(clusters)
         fits = [b for b in plain if b[0] >= size and s not in b[1] and k not in b[2]]
         got, offset = bins.place(size, s, k)
         if fits:
@@ -399,6 +415,12 @@ def test_best_fit_is_the_tightest_compatible_bin():
         plain[got][2].add(k)
 
 
+def test_only_what_repeats_has_a_bit():
+    assert packing.numbered(np.array([5, 7, 5, -3, 9, -3], np.int64)) == ([1, -1, 1, 0, -1, 0], 2) and packing.numbered(np.zeros(0, np.int64)) == ([], 0)
+    bins = packing.Bins(10, 1, 1)
+    assert [bins.place(4, -1, -1), bins.place(4, 0, -1), bins.place(1, 0, 0), bins.place(1, -1, 0), bins.place(2, -1, -1)] == [(0, 0), (0, 4), (1, 0), (0, 8), (1, 1)]
+
+
 def test_packing_odd(spark):
     out = packing.pack(odd(spark), capacity=1000).collect()
     assert sum(r.length for r in out) == sum(len(WORD.findall(t or "")) + 1 for _, t, *_ in ODD)
