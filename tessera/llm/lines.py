@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ._stage import Workspace, packed, unpacked
 
 #: Share of a host's pages, and number of pages, from which on a line is boilerplate.
-RATIO, PAGES = 0.1, 10
+RATIO, PAGES = 0.01, 3
 #: Up to so many boilerplate lines (16 bytes each) of all hosts are broadcast; more are joined by a shuffle on the host,
 #: whose large partitions adaptive execution splits.
 BROADCAST_LINES = 200_000
@@ -46,11 +46,14 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     listed = Workspace(docs.sparkSession, "lines").keep("boilerplate", boilerplate(rows.select("host", "text"), ratio, pages))
     few = listed.count() <= BROADCAST_LINES
     # A host's set has fewer lines than its lines a page divided by the ratio, so one row for each host joins the pages.
+    # A page is first met with the set by hash, so that only its own hits are looked for line by line.
     listed = listed.groupBy(F.col("host").alias("of")).agg(F.collect_set("line").alias("drop"))
     listed = F.broadcast(listed) if few else listed
     out = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left")
     lines = F.split("text", "\n", -1)
-    out = out.withColumn("kept", F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", F.unhex(F.md5(_key(x).cast("binary")))))))
+    digest = lambda x: F.unhex(F.md5(_key(x).cast("binary")))
+    out = out.withColumn("hit", F.when(F.col("drop").isNotNull(), F.array_intersect(F.transform(lines, digest), F.col("drop"))))
+    out = out.withColumn("kept", F.when(F.coalesce(F.size("hit"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("hit", digest(x)))))
     n = F.coalesce(F.size(lines), F.lit(0))
     gone = F.when(F.col("kept").isNull(), 0).otherwise(F.size(lines) - F.size("kept"))
     return unpacked(out, docs.columns, **{text: F.array_join("kept", "\n"), "_n_lines": n.cast("long"), "_n_dropped": gone.cast("long")})
