@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._stage import crc32_of_id
+from ._stage import crc32_of_id, small_batches
 
 PASSAGE, HIDDEN, GATES, HASHED = 64, 32, 16, 256
 CLASSES = np.full(256, 14, np.uint16)
@@ -57,7 +57,10 @@ def encode(data: np.ndarray, starts: np.ndarray, cache: dict) -> tuple[np.ndarra
     if len(data) > 1:
         c = CLASSES[data]
         pair = c[:-1] * 16 + c[1:]
-        x[:, :256] = np.bincount(of_byte[:-1] * 256 + pair, minlength=total * 256).reshape(total, 256)
+        inner = np.ones(len(pair), bool)
+        ends = starts[1:-1]
+        inner[ends[(ends > 0) & (ends < len(data))] - 1] = False  # no pair of two documents' bytes
+        x[:, :256] = np.bincount(of_byte[:-1][inner] * 256 + pair[inner], minlength=total * 256).reshape(total, 256)
     if len(words):
         x[:, 256 : 256 + HASHED] = np.bincount(of_word * HASHED + (words >> np.uint64(56)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED)
     size = np.maximum(1, np.bincount(of_word, minlength=total))
@@ -132,11 +135,12 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, steps: int =
 def sample(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
     """All encoded passages and the labels of at most so many labelled rows whose id's crc32 modulo 5 is not 0.
 
-    They are the first by their id's hash.
+    They are the first by their id's hash; of the rows of one id the least text counts.
     """
     known = labels.filter(F.col("quality").isNotNull() & (crc32_of_id() % 5 != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = {}
@@ -155,6 +159,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[list[n
 def classify(docs: DataFrame, model: dict, keep: float = 0.3) -> DataFrame:
     """docs with _score and _predicted, whole texts; a null text counts as empty. Input columns of these names go."""
     docs = docs.drop("_score", "_predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +169,7 @@ def classify(docs: DataFrame, model: dict, keep: float = 0.3) -> DataFrame:
                 n = len(starts) - 1
                 s = score(*encode(data, starts, cache), n, m).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in batch.schema.names if c != "text"), batch.column("text").slice(row, n), pa.array(s)], [*(c for c in batch.schema.names if c != "text"), "text", "_score"])
+        _text.release()
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
     scored = docs.select(*(f"`{f.name}`" for f in docs.schema.fields if f.name != "text"), "text").mapInArrow(run, ", ".join([*columns, "text string", "_score double"]))
