@@ -2,7 +2,7 @@
 
 Subwords are byte n-grams of 2 to 4 bytes inside a word, its boundaries included. They are hashed into BUCKETS
 rows of an embedding matrix; a text is the mean of its rows. Embeddings and softmax are trained by stochastic
-gradient descent on a bounded sample. A temperature, fitted on training rows set aside, calibrates the score,
+gradient descent on the whole texts of a bounded number of rows. A temperature, fitted on training rows set aside, calibrates the score,
 and the rejection threshold is the lowest score above which those rows reach the wanted precision.
 """
 
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from . import _text
 from ._stage import crc32_of_id
 
-BUCKETS_LOG, DIM = 15, 16
+BUCKETS_LOG, DIM, GAIN = 15, 16, 10
+#: Bytes of a part that is one training example, about.
+PART = 400
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 LETTER[128:] = True
@@ -65,30 +67,57 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], y: np.ndarray, classes: int, epochs: int = 4, piece: int = 400, pieces: int = 6, rate: float = 0.5, seed: int = 5) -> np.ndarray:
-    """embeddings @ weights, by stochastic gradient descent on short pieces spread over each text."""
+def parts(text: bytes, size: int = PART) -> list[bytes]:
+    """The whole text in runs of about so many bytes, cut after spaces, so never inside a character; one at least."""
+    found, at = [], 0
+    while len(text) - at > size:
+        end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        found.append(text[at : end + 1])
+        at = end + 1
+    return [*found, text[at:]] if at < len(text) or not found else found
+
+
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text's subwords, and the share of its subwords in each."""
+    found = []
+    for text in texts:
+        h, _ = subwords(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        bucket, count = np.unique(h, return_counts=True)
+        found.append((bucket.astype(np.uint16), (count / max(1, len(h))).astype(np.float32)))
+    return found
+
+
+def step(emb: np.ndarray, w: np.ndarray, batch: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float) -> None:
+    """One step of gradient descent on the log loss of a batch, in place; embeddings move GAIN times as far."""
+    at = np.repeat(np.arange(len(batch)), [len(b) for b, _ in batch])
+    bucket, share = np.concatenate([b for b, _ in batch]).astype(np.int64), np.concatenate([s for _, s in batch])
+    mean = np.stack([np.bincount(at, weights=emb[bucket, d] * share, minlength=len(batch)) for d in range(DIM)], axis=1)
+    p = softmax(mean @ w)
+    p[np.arange(len(batch)), y] -= 1
+    back = p @ w.T
+    w -= rate * (mean.T @ p)
+    rows, place = np.unique(bucket, return_inverse=True)
+    for d in range(DIM):
+        emb[rows, d] -= rate * GAIN * np.bincount(place, weights=share * back[at, d], minlength=len(rows))
+
+
+def train(texts: list[bytes], y: np.ndarray, classes: int, epochs: int = 2, batch: int = 16, rate: float = 0.5, seed: int = 5) -> np.ndarray:
+    """embeddings @ weights, by stochastic gradient descent in batches over all parts of the texts."""
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((1 << BUCKETS_LOG, DIM)) / DIM).astype(np.float32)
-    w = np.zeros((DIM, classes), np.float32)
-    examples = []
-    for text, c in zip(texts, y, strict=True):
-        for at in np.unique(np.linspace(0, max(0, len(text) - piece), pieces).astype(int)):
-            part = np.frombuffer(text, np.uint8)[at : at + piece]
-            h, _ = subwords(part, np.array([0, len(part)]))
-            if len(h):
-                examples.append((h, c))
-    step, last = 0, epochs * len(examples)
+    w = np.zeros((DIM, classes))
+    cut = [parts(t) for t in texts]
+    examples, label = bags([p for x in cut for p in x]), np.repeat(y, [len(x) for x in cut])
+    some = np.array([len(b) > 0 for b, _ in examples], bool)
+    order = np.flatnonzero(some)
+    done, last = 0, epochs * max(1, -(-len(order) // batch))
     for _ in range(epochs):
-        for i in rng.permutation(len(examples)):
-            h, c = examples[i]
-            now = rate * (1 - step / last)
-            step += 1
-            mean = emb[h].mean(0)
-            p = softmax((mean @ w)[None])[0]
-            p[c] -= 1
-            back = w @ p
-            w -= now * np.outer(mean, p)
-            np.subtract.at(emb, h, now * back / len(h) * 10)
+        for part in np.array_split(rng.permutation(order), max(1, -(-len(order) // batch))):
+            if len(part):
+                step(emb, w, [examples[i] for i in part], label[part], rate * (1 - done / last))
+            done += 1
     return emb @ w
 
 
@@ -107,11 +136,14 @@ def calibrate(raw: np.ndarray, y: np.ndarray, precision: float = 0.995) -> tuple
 
 
 def sample(docs: DataFrame, most: int = 3000) -> tuple[list[bytes], list[str]]:
-    """Texts and languages of at most so many rows: lang not null, crc32 of the id modulo 4 not 2, first by hash."""
+    """Whole texts and languages of at most so many rows: lang not null, crc32 of the id modulo 4 not 2, first by hash.
+
+    Of the rows of one id the least counts, by language and text.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_of_id() % 4 != 2))
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.text", "row.lang")
+    rows = rows.toArrow().sort_by("doc_id")
     return [x.encode() for x in rows["text"].to_pylist()], rows["lang"].to_pylist()
 
 
@@ -123,8 +155,8 @@ def fit(docs: DataFrame) -> dict:
         return {"names": [], "table": np.zeros((1 << BUCKETS_LOG, 1)), "least": 0.0}
     aside = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     table = train([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside], len(names))
-    # Calibration must hold for short texts too, so each text set aside also counts with shorter and shorter pieces.
-    held = [(t[len(t) // 3 :][:size], c) for t, c, a in zip(texts, y, aside, strict=True) if a for size in (12, 40, 150, None)]
+    # Calibration must hold for short texts too, so each text set aside counts as a whole, in parts and in short parts.
+    held = [(x, c) for t, c, a in zip(texts, y, aside, strict=True) if a for x in [t, *parts(t), *parts(t, 40)]]
     data, held_y = [t for t, _ in held], np.array([c for _, c in held], np.int64)
     starts = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     t, least = calibrate(logits(np.frombuffer(b"".join(data), np.uint8), starts, table) if data else np.zeros((0, len(names))), held_y)
