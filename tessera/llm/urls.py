@@ -3,6 +3,8 @@
 The filter is a table with one row for each block of 512 bits, eight longs; a URL sets or tests one bit in each of
 the eight words of its block. Pages whose bits are all set go on to the exact join with the list, which removes
 false positives; the others are done. Only DataFrame functions are used.
+
+A null url has an empty host and path and is on no list. Repeated rows are judged one by one, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import packed, unpacked
+from ._stage import Workspace, packed, unpacked
 
 #: (host, path, verdict). Fixed values.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -21,6 +23,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 WORDS = 8
 #: A filter of more bytes than this is joined by block instead of broadcast.
 BROADCAST_BYTES = 64 << 20
+#: A list of more URLs than this is joined by a shuffle of the pages that the filter lets through.
+BROADCAST_URLS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -68,8 +72,9 @@ def blocks_for(n: int, bits: int = 12) -> int:
 
 def on_list(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """pages with _maybe, the filter's answer, and _listed, the exact one, by the column _url; null is neither."""
-    listed = listed.select("_url").filter(F.col("_url").isNotNull()).distinct()
-    blocks = blocks_for(listed.count())
+    listed = Workspace(pages.sparkSession, "urls").keep("listed", listed.select("_url").filter(F.col("_url").isNotNull()).distinct())
+    n = listed.count()
+    blocks = blocks_for(n)
     table = bloom(listed, blocks)
     if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
         table = F.broadcast(table)
@@ -80,10 +85,14 @@ def on_list(pages: DataFrame, listed: DataFrame) -> DataFrame:
     probe = probe.join(table, F.col("_at") == F.col("_block"), "left")
     probe = probe.withColumn("_maybe", F.coalesce(hit & F.col("_url").isNotNull(), F.lit(False)))
     probe = probe.drop("_at", "_block", *(f"_{x}{i}" for x in "wf" for i in range(WORDS)))
-    # A page that the filter turns away has a null key, so it meets nothing in the exact join.
-    key = F.when(F.col("_maybe"), F.col("_url"))
-    exact = listed.select(F.col("_url").alias("_listed_url"))
-    return probe.join(exact, key == F.col("_listed_url"), "left").withColumn("_listed", F.col("_listed_url").isNotNull()).drop("_listed_url")
+    if n <= BROADCAST_URLS:
+        key = F.when(F.col("_maybe"), F.col("_url"))
+        exact = F.broadcast(listed.select(F.col("_url").alias("_listed_url")))
+        return probe.join(exact, key == F.col("_listed_url"), "left").withColumn("_listed", F.col("_listed_url").isNotNull()).drop("_listed_url")
+    # Only the pages that the filter lets through are shuffled to a long list.
+    some = probe.filter("_maybe").join(listed.select(F.col("_url").alias("_listed_url")), F.col("_url") == F.col("_listed_url"), "left")
+    some = some.withColumn("_listed", F.col("_listed_url").isNotNull()).drop("_listed_url")
+    return some.unionByName(probe.filter("not _maybe").withColumn("_listed", F.lit(False)))
 
 
 def spam_titles(pages: DataFrame) -> DataFrame:
