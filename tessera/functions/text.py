@@ -114,8 +114,14 @@ def tldr(text: Column, n: int = 3) -> Column:
 
 
 def quotes(text: Column) -> Column:
-    """At least 15 characters between a pair of equal quote marks."""
-    return F.concat(F.regexp_extract_all(text, F.lit('"([^"]{15,})"'), 1), F.regexp_extract_all(text, F.lit("'([^']{15,})'"), 1))
+    """At least 15 characters between a pair of equal quote marks, without either mark inside, in the order of the text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"""(["'])([^"']{15,}?)\1"""), 2), lambda x: F.trim(x, F.lit(" \t\r\n")))
+
+
+def calendar_id(owner: Column, account: Column, url: Column) -> Column:
+    """The local id of a remote calendar, by owner and account."""
+    key = F.concat_ws("\n", F.coalesce(owner, F.lit("")), F.coalesce(account, F.lit("")), url)
+    return F.concat(F.lit("caldav-"), F.substring(F.sha2(key.cast("binary"), 256), 1, 24))
 
 
 def statistics(text: Column) -> Column:
@@ -233,14 +239,16 @@ def unit(v: Column) -> Column:
 
 
 def sniff_language(text: Column) -> Column:
-    """The kind of a document by its first tell-tale; markdown if there is none."""
-    t = F.trim(text, F.lit(" \t\r\n"))
+    """The kind of a document by its first tell-tale; markdown if there is none, or no text."""
+    t = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    head, first = F.lower(F.substring(t, 1, 600)), F.lower(F.regexp_extract(t, r"^#![^\n]*", 0))
+    # The words and marks of each kind.
     rules = (
-        ("email", t.rlike(r"(?i)^(to|from|subject):")), ("svg", t.rlike(r"(?i)^<svg")), ("xml", t.rlike(r"(?i)^<\?xml")),
-        ("html", t.rlike(r"(?i)^<!doctype html|^<html|<(div|body|head|p|span)[ >]")), ("json", t.rlike(r"(?s)^[\[{].*[\]}]$")),
-        ("bash", t.startswith("#!")), ("python", t.rlike(r"(?m)^(def |class |import |from \w+ import )")),
-        ("javascript", t.rlike(r"(?m)^(const |let |function |export )|=>")), ("sql", t.rlike(r"(?i)^(select|insert|update|create table)\s")),
-        ("css", t.rlike(r"(?m)^[.#]?[a-z][\w-]*\s*\{")),
+        ("email", t.rlike(r"(?im)^To:\s*") & t.rlike(r"(?im)^Subject:\s*")), ("svg", head.contains("<svg")), ("xml", head.startswith("<?xml")),
+        ("html", head.rlike(r"^<!doctype html|^<html|<(div|body|head|p|span|table|button|h[1-6]|ul|ol|li|img)\b")),
+        ("json", t.rlike(r"^[{\[]") & F.try_parse_json(t).isNotNull()), ("python", first.contains("python")), ("bash", first != ""),
+        ("python", t.rlike(r"(?m)^\s*(def \w|class \w|import \w|from \w[\w.]* import )")), ("javascript", t.rlike(r"(?m)^\s*(function \w|const \w|let \w|export |import .* from )")),
+        ("sql", t.rlike(r"(?mi)^\s*(select .* from |create table |insert into |update \w)")), ("css", t.rlike(r"(?m)^[.#]?[\w-]+\s*\{[^{}]*:[^{}]*;")),
     )
     out = None
     for name, test in rules:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def similar(df: DataFrame, key: str, words: Column, least: float, same: list[str
     """(a, b, similarity), a < b: pairs of rows whose word sets have at least this Jaccard similarity.
 
     Rarest words first: two sets that reach the threshold share a word among the first n - ceil(least * n) + 1
-    of each, so rows meet on those words only, and each meeting is verified once on the whole sets.
+    of each, so rows meet on those words only, if lengths and places allow, and each pair is verified once on the whole sets.
     """
     same = same or []
     sets = df.select(F.col(key).alias("k"), *same, F.array_sort(words).alias("s")).filter(F.size("s") > 0)
@@ -29,14 +31,17 @@ def similar(df: DataFrame, key: str, words: Column, least: float, same: list[str
     ranked = sets.select("k", F.explode("s").alias("w")).join(counts, "w").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
     size = F.size("r")
     prefix = F.slice("r", F.lit(1), size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1)
-    rows = sets.join(ranked, "k")
-    entries = rows.select("k", *same, F.size("s").alias("n"), F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
+    entries = ranked.select("k", size.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["w"])).alias("i", "w"))
+    if same:
+        entries = entries.join(sets.select("k", *same), "k")
     left, right = entries.alias("x"), entries.alias("y")
     meet = (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k"))
     for c in same:
         meet = meet & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    fits = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9
-    pairs = left.join(right, meet).filter(fits).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    # Lengths within the threshold, and enough words from the shared one's place on, with those that can be shared before.
+    n, m, i, j = (F.col(x) for x in ("x.n", "y.n", "x.i", "y.i"))
+    fits = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) + F.least(i, j) >= F.lit(least / (1 + least)) * (n + m) - 1e-9)
+    pairs = left.join(right, meet & fits).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     whole = sets.select("k", "s")
     both = pairs.join(whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     value = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
@@ -58,9 +63,10 @@ def components(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("v", "o")
     spark = vertices.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     both, labels = both.checkpoint(), labels.checkpoint()
     while True:
         near = both.join(labels.select(F.col("v").alias("o"), "label"), "o").groupBy("v").agg(F.min("label").alias("least"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,29 +117,32 @@ def pages(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k long, {PAGE}").withColumnRenamed("k", key)
 
 
+def chunk_borders(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of the chunks of sentences of such lengths, one space between two; a longer one than size is alone.
+
+    A chunk opens with as many last sentences of the one before as the overlap holds.
+    """
+    ends = [0, *accumulate(n + 1 for n in lengths)]
+    width = lambda a, b: ends[b] - ends[a] - 1
+    found, first = [], 0
+    for at, n in enumerate(lengths):
+        if at > first and width(first, at + 1) > size:
+            found.append((first, at))
+            first = at if n > size else next(i for i in range(first, at + 1) if width(i, at) <= overlap)
+        if n > size:
+            found.append((at, at + 1))
+            first = at + 1
+    return found if first == len(lengths) else [*found, (first, len(lengths))]
+
+
 def sentence_chunks(text: str | None, size: int = 1000, overlap: int = 200) -> list[str]:
-    """Whole sentences packed up to size; the last ones of a chunk, up to overlap, open the next; long ones are cut."""
+    """Whole sentences packed up to size, with an overlap; a long sentence is cut every size - overlap characters."""
     if not text or len(text) <= size:
         return [text] if text else []
-    chunks, held = [], []
-    parts = [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+|\n{2,}", text)) if s]
-    width = lambda xs: sum(map(len, xs)) + max(0, len(xs) - 1)
-    for part in parts:
-        if len(part) > size:
-            if held:
-                chunks.append(" ".join(held))
-                held = []
-            chunks += [part[i : i + size] for i in range(0, len(part), size - overlap)]
-            continue
-        if held and width(held) + len(part) + 1 > size:
-            chunks.append(" ".join(held))
-            room, kept = overlap, []
-            while held and len(held[-1]) <= room:
-                kept.append(held.pop())
-                room -= len(kept[-1]) + 1
-            held = kept[::-1]
-        held.append(part)
-    return chunks + [" ".join(held)] if held else chunks or [text]
+    units = [s for s in map(str.strip, re.split(r"(?<=[.!?])\s+|\n{2,}", text)) if s]
+    joined = [" ".join(units[a:b]) for a, b in chunk_borders([len(u) for u in units], size, overlap)]
+    alone = set(u for u in units if len(u) > size)
+    return [y for x in joined for y in ([x[i : i + size] for i in range(0, len(x), size - overlap)] if x in alone else [x])] or [text]
 
 
 def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -194,32 +198,75 @@ def threads(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
+RULE_PARTS = {"FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST", "BYDAY", "BYMONTHDAY", "BYMONTH", "BYSETPOS"}
+
+
+def _nth(dates: list[datetime], days: list[tuple[int, int]]) -> list[datetime]:
+    """Of a period's dates those of a weekday (n, weekday): the n-th one, from the end if negative, or all if 0.
+
+    Where a rule has weekdays of both kinds, a date must be of each kind.
+    """
+    of = lambda day: [d for d in dates if d.weekday() == day]
+    every = {d for n, day in days if n == 0 for d in of(day)}
+    some = {d for n, day in days if n != 0 for d in (of(day)[n - 1 : n] if n > 0 else of(day)[::-1][-n - 1 : -n])}
+    return sorted(every & some if every and some else every | some if len({n == 0 for n, _ in days}) == 1 else set())
+
 
+def occurrences(start: datetime, rule: str, before: datetime = datetime.max) -> Iterator[datetime]:
+    """Starts of a DAILY, WEEKLY, MONTHLY or YEARLY rule with RULE_PARTS; a bad rule, or another part, raises.
 
-def occurrences(start: datetime, rule: str) -> Iterator[datetime]:
-    """Starts of a DAILY, WEEKLY, MONTHLY or YEARLY rule with INTERVAL, COUNT, UNTIL and BYDAY; a bad rule raises."""
-    parts = dict(p.upper().split("=", 1) for p in rule.removeprefix("RRULE:").split(";") if p)
-    every, left = int(parts.get("INTERVAL", 1)), int(parts["COUNT"]) if "COUNT" in parts else None
+    Each period's dates are all its days that the BY parts leave; without any, the start's own. Periods that begin more
+    than a year after before are not looked at.
+    """
+    parts = dict(p.strip().upper().split("=", 1) for p in rule.strip().removeprefix("RRULE:").split(";") if p.strip())
+    freq, every = parts["FREQ"], int(parts.get("INTERVAL", 1))
+    if freq not in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY") or every < 1 or parts.keys() - RULE_PARTS:
+        raise ValueError(rule)
+    numbers = lambda k: [int(x) for x in parts[k].split(",")] if k in parts else []
+    left = int(parts["COUNT"]) if "COUNT" in parts else None
     until = datetime.strptime(parts["UNTIL"].rstrip("Z"), "%Y%m%dT%H%M%S" if "T" in parts["UNTIL"] else "%Y%m%d") if "UNTIL" in parts else None
-    days = [DAYS.index(d[-2:]) for d in parts["BYDAY"].split(",")] if "BYDAY" in parts else []
-    freq = parts["FREQ"]
-    if freq not in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY"):
+    days = [(int(x[:-2] or 0), DAYS.index(x[-2:])) for x in parts["BYDAY"].split(",")] if "BYDAY" in parts else []
+    months, dates, places, first = numbers("BYMONTH"), numbers("BYMONTHDAY"), numbers("BYSETPOS"), DAYS.index(parts.get("WKST", "MO"))
+    if freq in ("DAILY", "WEEKLY") and any(n for n, _ in days):
         raise ValueError(rule)
-    for k in range(0, 200_000, every):
+
+    def month(year: int, m: int) -> list[datetime]:
+        length = ((datetime(year, m, 28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)).day
+        return [start.replace(year=year, month=m, day=d) for d in range(1, length + 1)]
+
+    def in_month(d: datetime) -> bool:
+        length = ((d.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)).day
+        return not dates or d.day in dates or d.day - length - 1 in dates
+
+    def period(k: int) -> list[datetime]:
         if freq == "DAILY":
-            group = [start + timedelta(days=k)]
-            group = [d for d in group if not days or d.weekday() in days]
+            found = [start + timedelta(days=k)]
         elif freq == "WEEKLY":
-            monday = start - timedelta(days=start.weekday()) + timedelta(weeks=k)
-            group = [monday + timedelta(days=d) for d in sorted(days or [start.weekday()])]
+            monday = start - timedelta(days=(start.weekday() - first) % 7) + timedelta(weeks=k)
+            week = [d for i in range(7) if (d := monday + timedelta(days=i)) >= start]
+            found = week if days else [d for d in week if d.weekday() == start.weekday()]
+        elif freq == "MONTHLY":
+            found = month(start.year + (start.month - 1 + k) // 12, (start.month - 1 + k) % 12 + 1)
+            if not days and not dates:
+                found = found[start.day - 1 : start.day]
         else:
-            year, month = start.year + (k if freq == "YEARLY" else (start.month - 1 + k) // 12), start.month if freq == "YEARLY" else (start.month - 1 + k) % 12 + 1
-            if year > 9998:
-                return
-            try:
-                group = [start.replace(year=year, month=month)]
-            except ValueError:  # a month without that day has no occurrence
-                group = []
+            # Weekdays count within each named month, and without one within the year.
+            named = months or (range(1, 13) if days or dates else [start.month])
+            by = [month(start.year + k, m) for m in sorted(named)]
+            if not days and not dates:
+                by = [x[start.day - 1 : start.day] for x in by]
+            found = sorted(d for x in (by if months else [sum(by, [])]) for d in (_nth(x, days) if days else x))
+        if days and freq != "YEARLY":
+            found = _nth(found, days)
+        found = [d for d in found if (not months or d.month in months) and in_month(d)]
+        return sorted({found[i] for p in places if -len(found) <= (i := p - 1 if p > 0 else p) < len(found)}) if places else found
+
+    k, least = 0, {"DAILY": 1, "WEEKLY": 7, "MONTHLY": 28, "YEARLY": 365}[freq]
+    while start.toordinal() + k * least <= before.toordinal() + 366:
+        try:
+            group = period(k)
+        except (OverflowError, ValueError):  # past the calendar's last year
+            return
         for d in group:
             if d < start:
                 continue
@@ -227,6 +274,7 @@ def occurrences(start: datetime, rule: str) -> Iterator[datetime]:
                 return
             yield d
             left = left if left is None else left - 1
+        k += every
 
 
 def expand(uid: str, start: datetime, end: datetime, rule: str | None, a: datetime, b: datetime, cap: int = 1000) -> list[tuple[str, datetime, datetime, bool]]:
@@ -234,7 +282,7 @@ def expand(uid: str, start: datetime, end: datetime, rule: str | None, a: dateti
     length, found = end - start, []
     if rule and rule.strip():
         try:
-            for s in occurrences(start, rule):
+            for s in occurrences(start, rule, b):
                 if s >= b:
                     break
                 if s + length > a and s >= a - length:

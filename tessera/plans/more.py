@@ -79,7 +79,7 @@ def f20_bullets(t):
     return rows.filter("role = 'assistant'").select(F.explode(T.bullets(c("content"))).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, '2024-02-01 13:00:00'), (2, '2024-01-31 15:00:00'), (3, '2024-05-13 21:00:00'), (4, NULL), (5, '2024-02-02 09:00:00')) AS t(id, moment)")
+@query("SELECT * FROM (VALUES (1, '2024-02-01 13:00:00'), (2, '2024-01-31 15:00:00'), (3, '2024-05-13 21:00:00'), (4, NULL), (5, '2024-02-02 00:00:00'), (6, '2024-02-01 00:00:00'), (7, '2024-01-31 00:00:00'), (8, '2024-01-31 15:00:00'), (9, '2024-01-31 12:45:00'), (10, NULL)) AS t(id, moment)")
 def f31_dates_in_words(t):
     now = datetime(2024, 1, 31, 12)
 
@@ -87,7 +87,7 @@ def f31_dates_in_words(t):
     def read(text: pd.Series) -> pd.Series:
         return pd.Series([m.isoformat(" ") if (m := times.moment(x, now)) else None for x in text], dtype=object)
 
-    rows = t.inline(X.rows("id, text", "(1, 'tomorrow 1pm')", "(2, 'in 3 hours')", "(3, '2024-05-13T21:00:00')", "(4, 'someday')", "(5, 'Friday')"))
+    rows = t.inline(X.rows("id, text", "(1, 'tomorrow 1pm')", "(2, 'in 3 hours')", "(3, '2024-05-13T21:00:00')", "(4, 'someday')", "(5, 'Friday')", "(6, 'tomorrow')", "(7, 'tonight')", "(8, '3pm today')", "(9, 'in 45min')", "(10, '25:00')"))
     return rows.select("id", read("text").alias("moment"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import dedup as D
+from tessera.operators import models as M
 from tessera.operators import relational as R
 from tessera.operators import search as S
 from tessera.plans import fixtures as X
@@ -268,28 +269,9 @@ def g3_chain_cycle(t):
     return walk.select("id", (c("back") | c("at").isNotNull()).alias("cycle"))
 
 
-def _pull_score(t):
-    p = _pulls(t)
-    shared = p.select("number", F.explode("files").alias("f")).distinct()
-    often = shared.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    overlap = shared.join(often, "f").groupBy("number").agg(F.count(F.lit(1)).alias("overlap"))
-    text = F.lower(F.concat_ws(" ", "title", F.array_join("files", " ")))
-    any_of = lambda *w: F.when(text.rlike("|".join(w)), 1).otherwise(0)
-    days = F.datediff(_now(), c("updated_at").cast("timestamp"))
-    score = (
-        F.when(text.rlike("auth|token"), 45).when(text.rlike("security|secret|privilege|permission"), 22).otherwise(0)
-        + 18 * any_of("leak", "exposure", "cross-user", "cross user", "privacy") + 20 * any_of("data-loss", "persistence", "migration", "database", "sqlite", "postgres")
-        + 15 * any_of("memory", "vector", "rag", "embedding", "retrieval") + F.least(F.coalesce("overlap", F.lit(0)) * 3, F.lit(30))
-        + F.when(c("merge_state").isin("clean", "has_hooks"), 3).otherwise(0)
-        + F.when(c("review_decision") == "approved", -8).when(c("review_decision") == "changes_requested", 10).when(c("review_decision") == "review_required", 6).when(c("review_decision").isin("unknown", "", "none"), 4).otherwise(0)
-        + F.when(days <= 7, 8).when(days <= 30, 4).otherwise(0)
-    )
-    return p.join(overlap, "number", "left").select("number", score.cast("long").alias("score"))
-
-
 @query()
 def r18_pull_priority(t):
-    return _pull_score(t).orderBy(F.desc("score"), "number")
+    return M.pull_score(_pulls(t), _now()).orderBy(F.desc("score"), "number")
 
 
 _CATALOGUE = X.rows(
@@ -338,11 +320,20 @@ def r16_model_fit(t):
     return rows.select("name", F.round(need, 4).alias("need_gb"), F.round(score, 4).alias("score")).orderBy(F.desc("score"), "name")
 
 
-@query()
+_IMAGE_MODELS = X.rows(
+    "name, quality, speed, vram_bf16, vram_fp8, vram_q4, default_quant", "('a', 90, 40, 8.0::DOUBLE, 4.5::DOUBLE, 3.0::DOUBLE, 'BF16')", "('b', 95, 20, 24.0, 12.0, 7.0, 'BF16')", "('c', 60, 95, 3.0, NULL, NULL, 'BF16')", "('d', 99, 5, 60.0, 34.0, NULL, 'FP8')", "('e', 70, 50, 10.7, NULL, NULL, 'BF16')",
+)
+
+
+@query(f"""
+WITH taken AS (
+  SELECT name, gpu, quality, speed, coalesce(CASE WHEN vram_bf16 <= gpu * 0.9 THEN vram_bf16 END, CASE WHEN vram_fp8 <= gpu * 0.9 THEN vram_fp8 END, CASE WHEN vram_q4 <= gpu * 0.9 THEN vram_q4 END) AS need,
+    CASE WHEN vram_bf16 <= gpu * 0.9 THEN 'BF16' WHEN vram_fp8 <= gpu * 0.9 THEN 'FP8' WHEN vram_q4 <= gpu * 0.9 THEN 'Q4' WHEN gpu > 0 THEN default_quant END AS quant
+  FROM ({_IMAGE_MODELS}), (SELECT unnest([8.0::DOUBLE, 12.0, 48.0, 0.0]) AS gpu))
+SELECT name, gpu, quant, round(0.6::DOUBLE * quality + 0.2::DOUBLE * speed + CASE WHEN gpu <= 0 THEN 0 WHEN need IS NULL THEN -30 WHEN gpu - need > gpu * 0.3 THEN 20 WHEN gpu - need > gpu * 0.1 THEN 10 ELSE 5 END, 1) AS score FROM taken""")
 def r17_image_model_fit(t):
-    rows = t.inline(X.rows("name, quality, speed, need, gpu", "('a', 90, 40, 8.0, 12.0)", "('b', 95, 20, 24.0, 12.0)", "('c', 60, 95, 3.0, 12.0)"))
-    bonus = F.when(c("need") <= c("gpu") * 0.8, 20).when(c("need") <= c("gpu"), 10).otherwise(0)
-    return rows.select("name", (0.6 * c("quality") + 0.2 * c("speed") + bonus).alias("score")).orderBy(F.desc("score"), "name")
+    models = t.inline(_IMAGE_MODELS).select("*", F.explode(F.array(*(F.lit(x) for x in (8.0, 12.0, 48.0, 0.0)))).alias("gpu"))
+    return M.image_fit(models, c("gpu")).select("name", "gpu", "quant", "score").orderBy(F.desc("score"), "name", "gpu")
 
 
 _BANDWIDTH = X.rows("gpu, gbps", "('rtx 4090', 1008)", "('rtx 40', 700)", "('m3 max', 400)", "('m3', 100)")

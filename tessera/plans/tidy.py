@@ -141,10 +141,13 @@ def f10_tldr(t):
     return t.documents.select("doc_id", T.tldr(c("text")).alias("tldr"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a long enough quote|another long enough one')) AS t(id, quotes)")
+@query("""
+SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(said, '"[^"'']{15,}?"|''[^"'']{15,}?'''), lambda x: trim(substr(x, 2, len(x) - 2))), '|') AS quotes
+FROM (SELECT conv_id, turn, 'He said "' || replace(replace(substr(text, 1, 40), '"', ''), chr(10), ' ') || '" and ''' || replace(replace(substr(text, 41, 40), '''', ''), chr(10), ' ') || ''' or "not".' AS said FROM conversations)""")
 def f11_quotes(t):
-    rows = t.inline("SELECT 1 AS id, 'He said \"a long enough quote\" and \"short\" and ' || chr(39) || 'another long enough one' || chr(39) || ' then.' AS text")
-    return rows.select("id", F.array_join(T.quotes(c("text")), "|").alias("quotes"))
+    part = lambda at, mark: F.regexp_replace(F.regexp_replace(F.substring("text", at, 40), mark, ""), "\n", " ")
+    said = F.concat(F.lit('He said "'), part(1, '"'), F.lit("\" and '"), part(41, "'"), F.lit("' or \"not\"."))
+    return t.conversations.select("conv_id", "turn", F.array_join(T.quotes(said), "|").alias("quotes"))
 
 
 @query("SELECT * FROM (VALUES (1, '50000 users|1,000,000|45%|2024')) AS t(id, found)")
@@ -173,9 +176,9 @@ def f16_content_id(t):
     return t.documents.select("doc_id", T.content_id(c("text"), c("source")).alias("id"))
 
 
-@query("SELECT page_id, substr(sha256('alice' || '|' || page_id::VARCHAR || '|' || url), 1, 24) AS id FROM pages")
+@query("SELECT page_id, 'caldav-' || substr(sha256('alice' || chr(10) || page_id::VARCHAR || chr(10) || url), 1, 24) AS id FROM pages")
 def f17_calendar_id(t):
-    return t.pages.select("page_id", F.substring(F.sha2(F.concat_ws("|", F.lit("alice"), c("page_id").cast("string"), "url").cast("binary"), 256), 1, 24).alias("id"))
+    return t.pages.select("page_id", T.calendar_id(F.lit("alice"), c("page_id").cast("string"), c("url")).alias("id"))
 
 
 _FACTS = X.rows("id, text", "(1, 'My name is Ann Berg.')", "(2, 'I live in Oslo')", "(3, 'I really like the green tea!')", "(4, 'call me Al')", "(5, 'nothing here')")
@@ -206,10 +209,32 @@ def f22_strip_reasoning(t):
     return rows.select("id", F.trim(out).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES (1, 'html'), (2, 'json'), (3, 'python'), (4, 'sql'), (5, 'markdown'), (6, 'svg'), (7, 'bash')) AS t(id, language)")
+#: Beginnings put before the texts, by doc_id modulo their number.
+_BEGINNINGS = ("", "<!DOCTYPE html><p>", "import os\n", "first\nselect a from b\n", "see <svg width>", "#!/bin/sh\n", "#!/usr/bin/env python\n", "[note] see [x]", "a => b ", "const a = 1\n", ".a { color: red; }\n", "To: a\nSubject: b\n\n", "<?xml?>", "{\"a\": 1}")
+
+
+@query(
+    "WITH said AS (SELECT doc_id, trim(CASE doc_id % 14 "
+    + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_BEGINNINGS))
+    + r""" END || CASE WHEN doc_id % 14 = 13 THEN '' ELSE coalesce(text, '') END, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents),
+parts AS (SELECT doc_id, s, lower(substr(s, 1, 600)) AS head, lower(regexp_extract(s, '^#![^\n]*')) AS first FROM said)
+SELECT doc_id, CASE
+  WHEN regexp_matches(s, '(?im)^To:\s*') AND regexp_matches(s, '(?im)^Subject:\s*') THEN 'email'
+  WHEN contains(head, '<svg') THEN 'svg'
+  WHEN starts_with(head, '<?xml') THEN 'xml'
+  WHEN regexp_matches(head, '^<!doctype html|^<html|<(div|body|head|p|span|table|button|h[1-6]|ul|ol|li|img)\b') THEN 'html'
+  WHEN regexp_matches(s, '^[{\[]') AND json_valid(s) THEN 'json'
+  WHEN contains(first, 'python') THEN 'python' WHEN first <> '' THEN 'bash'
+  WHEN regexp_matches(s, '(?m)^\s*(def \w|class \w|import \w|from \w[\w.]* import )') THEN 'python'
+  WHEN regexp_matches(s, '(?m)^\s*(function \w|const \w|let \w|export |import .* from )') THEN 'javascript'
+  WHEN regexp_matches(s, '(?mi)^\s*(select .* from |create table |insert into |update \w)') THEN 'sql'
+  WHEN regexp_matches(s, '(?m)^[.#]?[\w-]+\s*\{[^{}]*:[^{}]*;') THEN 'css'
+  ELSE 'markdown' END AS language FROM parts"""
+)
 def f24_language_sniff(t):
-    rows = t.inline(X.rows("id, text", "(1, '<!DOCTYPE html><p>x')", "(2, '{\"a\": 1}')", "(3, 'import os')", "(4, 'select a from b')", "(5, 'plain words')", "(6, '<svg width=\"1\">')", "(7, '#!/bin/sh')"))
-    return rows.select("id", T.sniff_language(c("text")).alias("language"))
+    begin = F.element_at(F.array(*(F.lit(x) for x in _BEGINNINGS)), (F.pmod("doc_id", F.lit(14)) + 1).cast("int"))
+    rest = F.when(F.pmod("doc_id", F.lit(14)) == 13, "").otherwise(F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", T.sniff_language(F.concat(begin, rest)).alias("language"))
 
 
 @query("SELECT * FROM (VALUES ('e1', 'health', NULL), ('e2', 'travel', NULL), ('e3', 'work', 'high'), ('e5', 'health', 'critical')) AS t(uid, kind, importance)")

@@ -1,5 +1,6 @@
 """Small cases of single operators, and differential tests against plain Python."""
 
+import random
 import re
 from datetime import datetime
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import dedup, extract, relational, search
+from tessera.operators import dedup, extract, models, relational, search, times
 from tessera.plans import fixtures as X
 from tessera.sources import files
 from tessera.streaming import stateful
@@ -197,3 +198,53 @@ def test_vector_first_reads_the_vectors(spark, tmp_path):
     spark.createDataFrame([(1, "license"), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, [-0.125] * 64), (2, [0.125] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in registry.queries()["r13_vector_first"](spark, str(tmp_path)).collect()] == [(2, "vector")]
+
+
+def test_recurrence_agrees_with_dateutil():
+    rrule = pytest.importorskip("dateutil.rrule")
+    rng, end = random.Random(1), datetime(2032, 1, 1)
+    for _ in range(300):
+        freq = rng.choice(["DAILY", "WEEKLY", "MONTHLY", "YEARLY"])
+        rule = f"FREQ={freq};INTERVAL={rng.randint(1, 4)};UNTIL=20320101T000000"
+        if rng.random() < 0.5:
+            days = {(rng.choice(["", "1", "2", "-1"]) if freq in ("MONTHLY", "YEARLY") else "") + rng.choice(extract.DAYS) for _ in range(rng.randint(1, 3))}
+            rule += ";BYDAY=" + ",".join(sorted(days))
+        if rng.random() < 0.3 and freq != "WEEKLY":
+            rule += ";BYMONTHDAY=" + ",".join(str(rng.choice([1, 5, 15, 31, -1, -3])) for _ in range(2))
+        if rng.random() < 0.2:
+            rule += f";BYMONTH={rng.randint(1, 12)}"
+        if rng.random() < 0.25 and "BYDAY" in rule:
+            rule += ";BYSETPOS=" + rng.choice(["1", "-1", "2", "1,-1"])
+        start = datetime(2024, 1, 31, 9, 30) if rng.random() < 0.3 else datetime(2024, rng.randint(1, 12), rng.randint(1, 28), 9, 30)
+        got = [d for d, _ in zip(extract.occurrences(start, rule, end), range(30), strict=False)]
+        assert got == [d for d, _ in zip(rrule.rrulestr(rule, dtstart=start), range(30), strict=False)], (start, rule)
+
+
+def test_other_rule_parts_leave_the_single_event():
+    start = datetime(2024, 1, 1)
+    for rule in ("FREQ=HOURLY", "FREQ=DAILY;BYHOUR=3", "FREQ=DAILY;INTERVAL=0", "FREQ=WEEKLY;BYDAY=1MO", "nothing"):
+        assert extract.expand("e", start, start, rule, datetime(2023, 1, 1), datetime(2025, 1, 1)) == [("e", start, start, False)]
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [("tomorrow", (2, 1, 0, 0)), ("tonight", (1, 31, 0, 0)), ("tonight at 8 p.m.", (1, 31, 20, 0)), ("3pm today", (1, 31, 15, 0)), ("12am", (1, 31, 0, 0)), ("next monday 9:15", (2, 5, 9, 15)), ("in 2 hrs", (1, 31, 14, 0)), ("in 45min", (1, 31, 12, 45)), ("25:00", None), ("13pm x", None)],
+)
+def test_moments(said, want):
+    assert times.moment(said, datetime(2024, 1, 31, 12)) == (want and datetime(2024, *want))
+
+
+def test_pull_priority_needs_a_path_and_a_title(spark):
+    rows = [(1, "Fix auth", ["a.py"], "clean", "none"), (2, "Fix login", ["src/auth.py"], "dirty", "approved"), (3, "Expired entries", ["key_manager.py"], "", "x"), (4, "plain", ["auth.py"], None, None), (5, "security", ["b.py", "src/auth.py"], "HAS_HOOKS", "changes_requested")]
+    pulls = spark.createDataFrame([(*r, "2024-01-01 00:00:00") for r in rows], "number long, title string, files array<string>, merge_state string, review_decision string, updated_at string")
+    got = {r.number: r.score for r in models.pull_score(pulls, F.lit("2024-01-31 12:00:00").cast("timestamp")).collect()}
+    assert got == {1: 3 + 4 + 4, 2: 45 + 3 - 8 + 4, 3: 45 + 4, 4: 4 + 4, 5: 22 + 3 + 3 + 10 + 4}
+
+
+def test_chunks_overlap_by_whole_sentences():
+    text = " ".join(f"Sentence number {i} has some words." for i in range(60)) + " " + "z" * 1500 + ". End."
+    chunks = extract.sentence_chunks(text, 300, 80)
+    assert all(len(x) <= 300 for x in chunks) and chunks[0].startswith("Sentence number 0") and chunks[-1] == "End."
+    assert all(a.split(". ")[-1].rstrip(".") in b for a, b in zip(chunks[:5], chunks[1:6], strict=True))
+    assert extract.chunk_borders([5, 5, 5], 11, 5) == [(0, 2), (1, 3)] and extract.chunk_borders([20, 3], 10, 2) == [(0, 1), (1, 2)]
+    assert extract.chunk_borders([], 10, 2) == [] and extract.sentence_chunks("") == []
