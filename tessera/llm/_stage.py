@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the shuffle files of the write go with it, as what follows reads the table, and small
+#: partitions meet up to the advisory size, as each file of a local or shared folder costs several processes and a seek.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,13 +50,15 @@ class Workspace:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        # The shuffle files of the write go with it: what follows reads the table.
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

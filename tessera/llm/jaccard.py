@@ -273,7 +273,7 @@ class Join:
         self.repeated = held.count() > self.nodes.count() + others.count()
         first = self.docs.join(self._small(others), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
         total = held.agg(F.sum(F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1)).first()[0] or 0
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK))
+        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK))
         shared = _shared(_entries(first, common, levels, 8 * parts).repartition(parts, "bucket"))
         shared = self.space.keep("candidates", shared.distinct() if self.repeated else shared)
         hot = self._small(self.space.keep("hot", shared.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > GROUP).select("token")))
@@ -363,10 +363,10 @@ class Join:
 
         part = lambda c, v, p: sets.select(F.col("node").alias(c), F.col(v).alias(f"{p}_{c}"))
         left = self._small(near).join(part("a", "parts", "p"), "a").join(part("b", "parts", "p"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
-        left = self.space.keep(f"left{k}", left.mapInArrow(suffix, "a long, b long, n_a long, n_b long"))
+        left = self.space.keep(f"left{k}", left.mapInArrow(suffix, "a long, b long, n_a long, n_b long").hint("rebalance"))
         whole = self._small(left).join(part("a", "set", "s"), "a").join(part("b", "set", "s"), "b")
         both = F.size(F.array_intersect("s_a", "s_b"))
-        links = self.space.keep(f"links{k}", whole.filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+        links = self.space.keep(f"links{k}", whole.filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").hint("rebalance"))
         for name in ("near", "sets", "left"):
             self.space.drop(f"{name}{k}")
         return links
@@ -375,7 +375,8 @@ class Join:
         """(node, parts, set) of the wanted nodes (node, doc, hash), from one text of each."""
         wanted = self.space.keep(f"wanted{self.rounds}", wanted.withColumnRenamed("node", "wanted"))
         same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))
-        texts = self.docs.join(self._small(wanted), same).select("wanted", "text")
+        # Wanted texts may stand close together; dealt out again, the tasks and the files they write are of one size.
+        texts = self.docs.join(self._small(wanted), same).select("wanted", "text").hint("rebalance")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict = {}
