@@ -53,6 +53,8 @@ SEEDS = (
     (0x0F1BBCDCBFA53E0B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1), (0x6A09E667F3BCC908, 0x4528E638D01377BE, 0x38D01377BE5466CF, 0x082EFA98EC4E6C89),
 )
 BEST = 3
+#: An entry between classes carries its node's least tokens, so many.
+HEAD = 32
 #: After the second, hub rounds go on while the candidates between classes outnumber the entries this many times, and
 #: SPARE, and a round takes off a fifth of them.
 TIMES, SPARE = 4, 100_000
@@ -324,9 +326,13 @@ class Join:
 
         With major (token, major), entries have a label: only candidates between different labels, and, as all
         entries under a token's major label agree, each is met from one that has another label.
+
+        A pair whose first shared token is among both nodes' HEAD least ones comes once, at that token: what is shared
+        before it would be among them too. Another pair comes at each token that it shares.
         """
-        entries = entries.join(self.nodes.select("node", *BITMAP), "node")
-        right = entries.select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "at", "label", *BITMAP) if c in entries.columns))
+        heads = entries.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, HEAD).alias("head"))
+        entries = entries.join(self.nodes.select("node", *BITMAP), "node").join(heads, "node")
+        right = entries.select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "at", "label", "head", *BITMAP) if c in entries.columns))
         left = entries
         rule = F.col("node") < F.col("_node")
         if major is not None:
@@ -334,6 +340,7 @@ class Join:
             rule = (F.col("label") != F.col("_label")) & ((F.col("_label") == F.col("major")) | (F.col("node") < F.col("_node")))
         x, y = F.struct("n", "at"), F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"))
         fits = _may_link(x, y) & (_differ("", "_") <= _may_differ(F.col("n"), F.col("_n")))
+        fits &= F.coalesce(F.array_min(F.array_intersect("head", "_head")), "token") >= F.col("token")
         return left.join(right, "token").filter(rule & fits).select(F.col("node").alias("x"), F.col("_node").alias("y"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:

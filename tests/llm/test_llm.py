@@ -490,9 +490,15 @@ def test_near_duplicates(spark, monkeypatch, times):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == plain_classes(rows)
 
 
-def test_all_links(spark):
+@pytest.mark.parametrize("head,group", [(32, 32), (1000, 2), (3, 2)])
+def test_all_links(spark, monkeypatch, head, group):
+    monkeypatch.setattr(jaccard, "HEAD", head)
+    monkeypatch.setattr(jaccard, "GROUP", group)
     rows = near_copies(80)
     join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    if head == 1000:
+        met = join.between(join.shared)
+        assert met.count() == met.distinct().count() > 0
     doc = {r.node: r.doc for r in join.nodes.collect()}
     got = {tuple(sorted((doc[r.a], doc[r.b]))) for r in join.all_links().collect()}
     sets = {}
