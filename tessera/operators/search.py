@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +164,39 @@ def nearest(df: DataFrame, vector: str, probe: list[float], k: int, key: str) ->
     return df.withColumn("similarity", T.cosine(F.col(vector), F.lit(probe))).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def nearest_of_each(rows: DataFrame, asked: DataFrame, key: str, vector: str, block: int = 8192) -> DataFrame:
+    """(key, similarity): the greatest cosine of each asked vector to a row of another key; vectors have unit and one length.
+
+    The questions go to the executors about block at a time, so that what is sent has a bound, and each task answers
+    with one row for a question that it has met. Null keys and vectors meet nothing, and a question that meets nothing is left out.
+    """
+    asked, rows = (x.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).dropna() for x in (asked, rows))
+    blocks, found = max(1, -(-asked.count() // block)), None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).toArrow()
+        at = part["k"].to_numpy()
+        sent = rows.sparkSession.sparkContext.broadcast((at, part["v"].combine_chunks().flatten().to_numpy().reshape(len(at), -1 if len(at) else 0)))
+        best = rows.mapInArrow(_greatest(sent), "k long, similarity double")
+        found = best if found is None else found.union(best)
+    return found.groupBy(F.col("k").alias(key)).agg(F.max("similarity").alias("similarity"))
+
+
+def _greatest(sent, step: int = 1024):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, questions = sent.value
+        best = np.full(len(asked), -np.inf)
+        for batch in (b for b in batches if len(asked) and len(b)):
+            keys, all_vectors = batch.column("k").to_numpy(), batch.column("v").flatten().to_numpy().reshape(len(batch), -1)
+            for a in range(0, len(batch), step):
+                near = all_vectors[a : a + step] @ questions.T
+                near[keys[a : a + step, None] == asked] = -np.inf
+                best = np.maximum(best, near.max(axis=0))
+        met = best > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(asked[met]), pa.array(best[met])], ["k", "similarity"])
+
+    return run
+
+
 def vector_first(chunks: DataFrame, docs: DataFrame, probe: list[float], words: list[str], k: int, least: float) -> DataFrame:
     """(doc_id, source): the k chunks (vec_id, embedding) nearest to the probe, of at least this cosine.
 

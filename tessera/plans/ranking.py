@@ -142,9 +142,8 @@ def r8_lane_merge(t):
 @query("SELECT a.vec_id, max(list_cosine_similarity(a.embedding, b.embedding)) >= 0.92 AS duplicate FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id")
 def r10_nearest_duplicate(t):
     """Every fiftieth vector is asked for against all others; the questions are sent to the rows, a block at a time."""
-    asked = t.embeddings.filter("vec_id % 50 = 0").select(c("vec_id").alias("asked"), c("embedding").alias("v"))
-    pairs = t.embeddings.join(asked, c("vec_id") != c("asked"))
-    return pairs.groupBy(c("asked").alias("vec_id")).agg((F.max(T.cosine(c("embedding"), c("v"))) >= 0.92).alias("duplicate"))
+    best = S.nearest_of_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding")
+    return best.select("vec_id", (c("similarity") >= 0.92).alias("duplicate"))
 
 
 @query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9_-]+)', 1), lambda w: w IN ('license', 'software', 'under', 'open')))) AS score FROM documents

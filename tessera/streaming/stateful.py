@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,11 +30,11 @@ def every_nth_stream(df: DataFrame, by: str, n: int) -> DataFrame:
 
 def admit(times: list[int], most: int, window: int, accepted: list[int] | None = None) -> list[bool]:
     """Which calls a limiter admits: those after fewer than most accepted ones within the window. Denied ones leave no trace."""
-    kept = list(accepted or [])
+    kept = deque(accepted or [])
     out = []
     for t in times:
         while kept and kept[0] <= t - window:
-            kept.pop(0)
+            kept.popleft()
         out.append(len(kept) < most)
         if out[-1]:
             kept.append(t)

@@ -86,6 +86,21 @@ def test_similar_is_exact(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 5, 8192])
+def test_nearest_of_each(spark, block):
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(30)]
+    rows = [(k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for k, v in enumerate(vectors)] + [(30, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    rows += [rows[3], (31, rows[4][1])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id: r.similarity for r in search.nearest_of_each(df, df.filter("id % 3 = 1 or id = 3"), "id", "v", block).collect()}
+    full = [(k, v) for k, v in rows if k is not None and v is not None]
+    want = {k: max(sum(x * y for x, y in zip(v, w, strict=True)) for j, w in full if j != k) for k, v in full if k % 3 == 1 or k == 3}
+    assert got == pytest.approx(want)
+    assert search.nearest_of_each(df.filter("false"), df, "id", "v", block).count() == 0
+    assert search.nearest_of_each(df, df.filter("false"), "id", "v", block).count() == 0
+
+
 def test_components(spark):
     v = spark.range(12).withColumnRenamed("id", "n")
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 6)] + [(8, 9), (10, 9)], ["a", "b"])
