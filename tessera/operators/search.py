@@ -81,8 +81,8 @@ def bm25(df: DataFrame, key: str, text: Column, query: str, k1: float = 1.2, b:
 
 
 def recency(age: Column, now: Column) -> Column:
-    """1 up to 7 days, 0 from 30 days on, linear between; a missing or unreadable date 0, a future one 1."""
-    days = F.floor((F.unix_seconds(now) - F.unix_seconds(F.try_to_timestamp(age))) / 86400)
+    """1 up to 7 whole days, 0 from 30 on, linear between; a missing or unreadable date 0, a future one 1."""
+    days = F.floor((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp(age))) / 86_400_000_000)
     return F.when(days.isNull(), 0.0).when(days <= 7, 1.0).when(days >= 30, 0.0).otherwise((F.lit(30) - days) / F.lit(23.0))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import dedup, extract, models, relational, search, times
 from tessera.plans import fixtures as X
+from tessera.plans import registry
 from tessera.sources import files
 from tessera.streaming import stateful
+from tests.oracle import duck, rows_of_duck, rows_of_spark
 
 
 def one(spark, column, **values):
@@ -75,6 +77,22 @@ def test_unreadable_age_scores_nothing_and_future_age_scores_one(spark):
     assert (score("soon"), score("2025-01-01"), score("2024-01-16"), score("2023-12-01")) == (0.0, 1.0, 15 / 23, 0.0)
 
 
+def like_sql(spark, folder, name, **tables):
+    """The rows of a query over small tables of its own, after they have been compared with those of its SQL."""
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+    got = rows_of_spark(registry.queries()[name](spark, str(folder)))
+    assert got == rows_of_duck(duck(folder), registry.oracle_sql()[name])
+    return got[1]
+
+
+def test_recency_counts_whole_days(spark, tmp_path):
+    times = ["2024-01-11 00:00:00.636583", "2024-01-11 00:00:00", "2024-01-10 23:59:59.999999", "2024-01-24 00:00:00.000001", "2024-01-23 00:00:00.5", "2024-01-23", "2024-01-01 00:00:00.1", "2024-01-01", "2024-02-01 00:00:00.1", "1901-01-01", None]
+    df = spark.createDataFrame(list(enumerate(times)), "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = dict(like_sql(spark, tmp_path, "f5_recency", events=df))
+    assert got["0"] == f"{11 / 23:.8g}" and got["1"] == f"{10 / 23:.8g}" and got["10"] is None
+
+
 def test_similar_is_exact(spark):
     import random
 
