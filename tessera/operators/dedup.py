@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import keep_one
+from tessera.operators.similar import similar as similar
 
 
 def copies(df: DataFrame, key: Column, order: list) -> DataFrame:
@@ -19,35 +20,6 @@ def copies(df: DataFrame, key: Column, order: list) -> DataFrame:
     return df.withColumns({"_n": F.count(F.lit(1)).over(w), "_first": F.row_number().over(w.orderBy(*order)) == 1})
 
 
-def similar(df: DataFrame, key: str, words: Column, least: float, same: list[str] | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of rows whose word sets have at least this Jaccard similarity.
-
-    Rarest words first: two sets that reach the threshold share a word among the first n - ceil(least * n) + 1
-    of each, so rows meet on those words only, if lengths and places allow, and each pair is verified once on the whole sets.
-    """
-    same = same or []
-    sets = df.select(F.col(key).alias("k"), *same, F.array_sort(words).alias("s")).filter(F.size("s") > 0)
-    counts = sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    ranked = sets.select("k", F.explode("s").alias("w")).join(counts, "w").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
-    size = F.size("r")
-    prefix = F.slice("r", F.lit(1), size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1)
-    entries = ranked.select("k", size.alias("n"), F.posexplode(F.transform(prefix, lambda x: x["w"])).alias("i", "w"))
-    if same:
-        entries = entries.join(sets.select("k", *same), "k")
-    left, right = entries.alias("x"), entries.alias("y")
-    meet = (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k"))
-    for c in same:
-        meet = meet & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    # Lengths within the threshold, and enough words from the shared one's place on, with those that can be shared before.
-    n, m, i, j = (F.col(x) for x in ("x.n", "y.n", "x.i", "y.i"))
-    fits = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) + F.least(i, j) >= F.lit(least / (1 + least)) * (n + m) - 1e-9)
-    pairs = left.join(right, meet & fits).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    whole = sets.select("k", "s")
-    both = pairs.join(whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    value = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= least)
-
-
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
     """The rows of new whose key is neither in old nor on an earlier row of new."""
     return keep_one(new, [key], order).join(old.select(key).distinct(), key, "left_anti")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import dedup, extract, models, relational, search, times
+from tessera.operators import dedup, extract, models, relational, search, similar, times
 from tessera.plans import fixtures as X
 from tessera.plans import registry
 from tessera.sources import files
@@ -112,6 +112,24 @@ def test_similar_is_exact(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("sketches", [1 << 27, 0])
+def test_similar_with_copies(spark, monkeypatch, sketches):
+    """Repeated words, copies, near copies and words of all counts, in short runs and steps."""
+    for name, value in {"SKETCHES": sketches, "CHUNK": 500, "HELD": 300, "STEP": 50, "HEAD": 2}.items():
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(5)
+    bases = [rng.sample(range(400), n) for n in (5, 20, 60, 150)]
+    rows = [(k, [w if rng.random() > 0.08 else rng.randrange(800) for w in bases[k % 4]]) for k in range(100)]
+    rows += [(k + 100, rows[k][1] * 2) for k in range(0, 40, 3)] + [(200, []), (None, rows[0][1]), (201, None)]
+    df = spark.createDataFrame(rows, "k long, w array<long>").withColumn("g", F.col("k") % 2)
+    sets = {k: set(w) for k, w in rows if k is not None and w}
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    want = {k: v for k, v in want.items() if v >= 0.6}
+    for same in ([], ["g"]):
+        got = [((r.a, r.b), r.similarity) for r in dedup.similar(df, "k", F.col("w").cast("array<string>"), 0.6, same).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {k: v for k, v in want.items() if not same or (k[0] - k[1]) % 2 == 0}
+
+
 @pytest.mark.parametrize("block", [1, 5, 8192])
 def test_nearest_of_each(spark, block):
     rng = random.Random(3)
