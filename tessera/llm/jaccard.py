@@ -19,6 +19,10 @@ most GROUP rows meet at once, the nodes of another meet that token's hubs first,
 contracted, and then only candidates between different classes are left; all of those are verified too. No link between
 two classes is lost, and a large group of near copies costs a multiple of its size instead of its square.
 
+degrees() adds every document's number of links. All links are inside classes, and where not all pairs of a class are
+links that were verified, all its pairs are counted: the sets of two blocks of at most BLOCK nodes meet in one task, as
+matrices of nodes by shingles, whose product has all overlaps. No pair becomes a row, and copies count as many times.
+
 A null or empty text, or one without words, has an empty set and links with nothing. A text of fewer than GRAM
 words has its whole word sequence as its one shingle. Nodes are told apart by a 64-bit hash of their set. Repeated rows
 are rows of one node. An empty table gives an empty result.
@@ -45,6 +49,8 @@ LEVEL = 52
 BROADCAST_ROWS = 500_000
 #: A pair with a bitmap counts as so many such rows.
 WIDE = 8
+#: Nodes of a class that are held against as many others at once, and shingles in one product of matrices.
+BLOCK, WIDTH = 512, 4096
 #: Rows of a token up to which all its pairs are made within one row.
 GROUP = 32
 #: A round's orders, in each of which a token's least node is a hub; and the hubs that a node is verified with.
@@ -446,6 +452,62 @@ class Join:
             links = links.union(self.verify(new))
 
 
+def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of a links with each of b."""
+    shingle, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    n = np.array([len(x) for x in (*a, *b)])
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    both = np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, len(shingle), WIDTH):
+        i, j = np.searchsorted(place, [first, first + WIDTH])
+        held = np.zeros((len(n), min(WIDTH, len(shingle) - first)), np.float32)
+        held[row[i:j], place[i:j] - first] = 1
+        both += (held[: len(a)] @ held[len(a) :].T).astype(np.int64)
+    return 100 * both >= PERCENT * (n[: len(a), None] + n[None, len(a) :] - both)
+
+
+def degrees(join: Join, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n_links): with how many other rows a row of the node links, for nodes that stand for several rows or link."""
+    weight = join.space.keep("weight", join.marks.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows")))
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).join(roots, "node")
+    # A class of which all pairs are links that were verified is counted by them.
+    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+    had = both.groupBy("root").agg(F.count(F.lit(1)).alias("ends"))
+    part = join.space.keep("part", size.join(had, "root").withColumn("whole", F.col("ends") == F.col("nodes") * (F.col("nodes") - 1)))
+    known = both.join(part.filter("whole").select("root"), "root", "left_semi").select("node", F.col("other")).join(weight.withColumnRenamed("node", "other"), "other").select("node", "rows")
+
+    blocks = F.ceil(F.col("nodes") / F.lit(BLOCK))
+    open_ = roots.join(part.filter("not whole").select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    open_ = join.space.keep("open", open_.join(weight, "node"))
+    sets = join.space.keep("open_sets", join._sets(open_.select("node").join(join.nodes.select("node", "doc", "hash"), "node")).select("node", "set"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    meet = open_.select("node", "root", "rows", "block", other.alias("other")).join(sets, "node")
+    meet = meet.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "rows", "set")
+
+    def count(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, node, rows = (table.column(c).to_numpy() for c in ("block", "node", "rows"))
+        whole = [x.values.to_numpy().view(np.uint64) for x in table.column("set")]
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = np.zeros(len(node), np.int64)
+        if len(x) and len(y):
+            for at in range(0, len(x), BLOCK):
+                for to in range(0, len(y), BLOCK):
+                    p, q = x[at : at + BLOCK], y[to : to + BLOCK]
+                    link = block_links([whole[k] for k in p], [whole[k] for k in q])
+                    link[p[:, None] == q[None, :]] = False
+                    out[p] += link @ rows[q]
+                    if i != j:
+                        out[q] += rows[p] @ link
+        return pa.table({"node": node, "rows": out})
+
+    counted = meet.groupBy("root", "i", "j").applyInArrow(count, "node long, rows long")
+    own = weight.filter("rows > 1").select("node", (F.col("rows") - 1).alias("rows"))
+    return join.space.keep("degrees", known.union(counted).union(own).groupBy("node").agg(F.sum("rows").alias("n_links")))
+
+
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) for the nodes of links (a, b), root the least node of each component.
 
@@ -466,20 +528,23 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, count: bool = True) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (the least doc_id reachable by links), n_links, root; a row for each row.
 
     root is the class's least node, the same for all rows of a class whatever their ids, and null for an empty set.
-    n_links counts the verified links of the document's set; links inside a class already known are not all verified.
+    n_links is the number of other rows that the row links with, copies included; without count it is left out.
     """
     join = Join(docs)
     roots, links = join.classes()
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = join.nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = join.space.keep("named", named.join(least, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = join.space.keep("named", named.join(least, "root").select("node", "root", "component_id"))
     out = join.marks.join(named, "node", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "root")
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if count:
+        out = out.join(join._small(degrees(join, roots, links)), "node", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns, "root")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

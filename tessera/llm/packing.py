@@ -91,7 +91,7 @@ def numbered(ids: np.ndarray) -> tuple[list[int], int]:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(text_hash, root): the class of near duplicates of each text that is near another."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), count=False)
     found = found.filter("root is not null").groupBy("text_hash").agg(F.min("root").alias("root"))
     return found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("root"), "root").select("text_hash", "root")
 

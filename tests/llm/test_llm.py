@@ -510,6 +510,26 @@ def test_all_links(spark, monkeypatch, head, group):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_every_link_counts(spark, monkeypatch, block):
+    """Also between texts of one class whose links were not needed to find it, and between copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WIDTH", 50 * block)
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    words = [f"w{i}" for i in range(120)]
+    rows = near_copies(60) + [(100 + k, " ".join(words[: 2 * k] + [f"x{k}"] + words[2 * k + 1 :])) for k in range(60)]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = collections.Counter()
+    sets = {}
+    for k, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            want.update((a, b))
+    assert {r.doc_id: r.n_links for r in out.collect()} == {k: want[k] for k in sets}
+
+
 def test_near_duplicates_odd(spark):
     out = jaccard.near_duplicates(odd(spark)).collect()
     by = collections.defaultdict(list)
