@@ -47,6 +47,8 @@ BITMAP = [f"b{i}" for i in range(SKETCH // 64)]
 LEVEL = 52
 #: Tables of node ids up to so many rows are broadcast; beyond, their joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Links up to so many are joined to classes in the driver: 4 MB.
+LINKS = 1 << 18
 #: A pair with a bitmap counts as so many such rows.
 WIDE = 8
 #: Nodes of a class that are held against as many others at once, and shingles in one product of matrices.
@@ -508,11 +510,31 @@ def degrees(join: Join, roots: DataFrame, links: DataFrame) -> DataFrame:
     return join.space.keep("degrees", known.union(counted).union(own).groupBy("node").agg(F.sum("rows").alias("n_links")))
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), ascending, and for each the least node that it reaches."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    least = np.arange(len(nodes))
+    while len(x):
+        # Every greater root of a link goes below the least root that it meets, and all nodes then to their roots.
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(far := least[least], least):
+            least = far
+        x, y = least[x], least[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[least]
+
+
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) for the nodes of links (a, b), root the least node of each component.
 
-    Alternating large-star and small-star steps until all edges are stars; each step moves a row for each edge.
+    Up to LINKS links are joined in the driver, as each step below costs it a plan of its own, whatever the rows. Beyond,
+    alternating large-star and small-star steps until all edges are stars; each step moves a row for each edge.
     """
+    if links.count() <= LINKS:
+        held = links.select("a", "b").toArrow()
+        node, root = least_reached(held["a"].to_numpy(), held["b"].to_numpy())
+        return space.keep(name, space.spark.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long"))
     edges, k = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -530,6 +530,36 @@ def test_every_link_counts(spark, monkeypatch, block):
     assert {r.doc_id: r.n_links for r in out.collect()} == {k: want[k] for k in sets}
 
 
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_components(spark, monkeypatch, most):
+    """A long chain, stars, copies of a link, both directions, and no link at all; few links cost the driver few jobs."""
+    monkeypatch.setattr(jaccard, "LINKS", most)
+    rng = random.Random(5)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(120)]
+    links = [(ids[k], ids[k + 1]) for k in range(39)] + [(ids[40], x) for x in ids[41:60]] + [(ids[61], ids[60])] * 2 + [(ids[60], ids[61])] + [(rng.choice(ids[62:]), rng.choice(ids[62:])) for _ in range(40)]
+    links = [x for x in links if x[0] != x[1]]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    space = Workspace(spark, "components")
+    made = space.keep("links", spark.createDataFrame(links, "a long, b long"))
+    spark.sparkContext.setJobGroup(f"components {most}", "")
+    try:
+        got = jaccard.components(made, space, "roots")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted((x, find(x)) for x in parent)
+    if most:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}")) <= 4
+    assert jaccard.components(made.limit(0), space, "none").count() == 0
+
+
 def test_near_duplicates_odd(spark):
     out = jaccard.near_duplicates(odd(spark)).collect()
     by = collections.defaultdict(list)
